@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixture, tokenise
+from . import mixture, tokenise, truncation
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,5 +31,13 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_round_trip, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "documents")).select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_rates)}
 SQL = {"p7_round_trip": P7_ROUND_TRIP_SQL}
