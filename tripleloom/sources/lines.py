@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.literals import canonical
 from ..functions.terms import RDF_TYPE, XSD
 from ..runtime import broadcast_if_small
 
@@ -39,6 +40,7 @@ BASE_LINE = r"^[ \t\r]*@?[Bb][Aa][Ss][Ee][ \t]+<[^<>\" ]*>[ \t\r]*\.?[ \t\r]*(?:
 
 _IRI, _ESCAPES, _TAG, _NUMBER, _LABEL, _NAME = (re.compile(x, re.S) for x in (IRI_BODY, ESCAPES, TAG, NUMBER, LABEL, NAME))
 _DIRECTIVE = re.compile(f"{PREFIX_LINE}|{BASE_LINE}")
+_PLAIN = f"^^<{XSD}string>"
 _ZONE = r"(?:Z|[+-](?:0[0-9]|1[0-3]):[0-5][0-9]|[+-]14:00)?"
 _FORMS = {
     f"{XSD}integer": re.compile(r"[+-]?[0-9]+"),
@@ -168,7 +170,7 @@ def _term(t, place: int, prefixes: dict[str, str] | None) -> str:
         _, body, tag, datatype = t
         if place != 2 or not _ESCAPES.fullmatch(body) or tag is not None and not _TAG.fullmatch(tag) or datatype is not None and not (_IRI.fullmatch(datatype) and valid_typed(body, datatype)):
             raise _Bad("value")
-        return f'"{body}"' + (tag or "") + (f"^^<{datatype}>" if datatype is not None and datatype != XSD + "string" else "")
+        return f'"{canonical(body)}"' + (tag or "") + (f"^^<{datatype}>" if datatype is not None and datatype != XSD + "string" else "")
     word = t[1]
     if word == "a" and place == 1:
         return RDF_TYPE
@@ -322,8 +324,9 @@ def _expand(terms: pa.Array, file: np.ndarray, maps: list[dict]) -> list[str]:
         if t == "a":
             out[k] = RDF_TYPE
         elif t[0] == '"':
-            if t.endswith(f'^^<{XSD}string>'):
-                out[k] = t[: -len(f"^^<{XSD}string>")]
+            end = t.rindex('"')
+            rest = t[end + 1 :]
+            out[k] = f'"{canonical(t[1:end])}"{"" if rest == _PLAIN else rest}'
         elif t[0] not in "<_+-0123456789":
             prefix, _, local = t.partition(":")
             if prefix in maps[file[k]]:
@@ -377,3 +380,25 @@ def valid_triples(lines: DataFrame) -> DataFrame:
     their file declares the prefix, and stay as they are otherwise."""
     rows = lines.select("line_id", "filename", "line").join(broadcast_if_small(prefix_maps(lines)), "filename", "left")
     return rows.mapInArrow(_judge_batches(True), "line_id bigint, s string, p string, o string")
+
+
+def judge_lines(lines: DataFrame) -> DataFrame:
+    """(filename, line, s, p, o, reason) of every line of (line_id, filename, line_no, line) that is valid or fails."""
+    rows = lines.select("line_id", "filename", "line").join(broadcast_if_small(prefix_maps(lines)), "filename", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            [good] = _judge_batches(True)([b]) if b.num_rows else [None]
+            if good is None:
+                continue
+            [bad] = _judge_batches(False)([b])
+            ids = b.column("line_id")
+            for part, columns in ((good, ["s", "p", "o"]), (bad, ["reason"])):
+                at = pc.index_in(part.column("line_id"), ids)
+                none = pa.nulls(part.num_rows, pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("filename").take(at), b.column("line").take(at), *[part.column(c) if c in columns else none for c in ("s", "p", "o", "reason")]],
+                    names=["filename", "line", "s", "p", "o", "reason"],
+                )
+
+    return rows.mapInArrow(run, "filename string, line string, s string, p string, o string, reason string")
