@@ -122,7 +122,7 @@ ex:C ex:spouse ex:C
 """
 
 
-@pytest.mark.parametrize("gone", ["ex:A ex:spouse ex:B", "ex:spouse a owl:SymmetricProperty", "ex:children owl:inverseOf ex:parent", "ex:C ex:spouse ex:C\nex:none a ex:none", "ex:A a ex:Person"])
+@pytest.mark.parametrize("gone", ["ex:A ex:spouse ex:B\nex:A a ex:Person\nex:none a ex:none", "ex:spouse a owl:SymmetricProperty\nex:C ex:spouse ex:C"])
 def test_delete(spark, gone):
     base, out = graph(spark, FAMILY), graph(spark, gone)
     want = set(rows(closure(base.join(out, ["s", "p", "o"], "left_anti"), default_rules()).triples.select("s", "p", "o")))
@@ -154,3 +154,11 @@ def test_callback(spark):
 def test_empty_and_null(spark):
     df = spark.createDataFrame([(None, "<p>", "<o>")], "s string, p string, o string")
     assert closure(df, default_rules(), provenance=True).triples.count() == 0
+
+
+def test_accelerated_rules_give_the_same(spark):
+    chain = "\n".join(f"ex:c{i} rdfs:subclassOf ex:c{i + 1}" for i in range(9)) + "\nex:c4 rdfs:subclassOf ex:c2\nex:x a ex:c0\nex:y a ex:c7"
+    slow = closure(graph(spark, chain), default_rules()[2:3])
+    fast = closure(graph(spark, chain), default_rules()[2:3], fast=True)
+    assert set(rows(slow.triples.select("s", "p", "o"))) == set(rows(fast.triples.select("s", "p", "o")))
+    assert len(fast.rounds) < len(slow.rounds)

@@ -55,12 +55,16 @@ def scan(triples: DataFrame, pattern: Pattern, lineage: str | None = None) -> Da
 
 
 def join_order(patterns: Sequence[Pattern], bound: Iterable[str] = ()) -> list[int]:
-    """Greedy: connected to what is bound, then fewest free variables, then as written."""
+    """Greedy: connected to what is bound, then fewest free variables, then a bound subject, then as written.
+
+    A bound subject usually has few objects, while a bound object may have a great many subjects.
+    """
     seen, left, order = set(bound), list(range(len(patterns))), []
     while left:
         def rank(i: int) -> tuple:
             names = set(variables(patterns[i]))
-            return (bool(seen) and not names & seen and bool(names), len(names - seen), i)
+            subject = patterns[i][0]
+            return (bool(seen) and not names & seen and bool(names), len(names - seen), isinstance(subject, Var) and subject.name not in seen, i)
 
         best = min(left, key=rank)
         left.remove(best)

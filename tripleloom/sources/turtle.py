@@ -224,11 +224,14 @@ def prefixes(spark: SparkSession, *paths: str) -> DataFrame:
     return files.mapInPandas(run, "filename string, prefix string, iri string")
 
 
-def ntriples(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
-    """(s, p, o) and rejects (filename, line, reason) of N-Triples-star files, read by lines."""
+def ntriples(spark: SparkSession, *paths: str, named: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(s, p, o) and rejects (filename, line, reason) of N-Triples-star files, read by lines.
+
+    ``named`` stands for the file names, of part files of one document for example.
+    """
     from . import lines
 
-    text = spark.read.text(list(paths)).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("filename"), F.monotonically_increasing_id().alias("line_id"))
+    text = spark.read.text(list(paths)).select(F.col("value").alias("line"), (F.lit(named) if named else F.col("_metadata.file_name")).alias("filename"), F.monotonically_increasing_id().alias("line_id"))
     found = lines.judge_lines(text.withColumn("line_no", F.col("line_id")))
     triples = found.where("reason IS NULL").select(*[_scoped(c) for c in ("s", "p", "o")])
     return triples, found.where("reason IS NOT NULL").select("filename", "line", "reason")
