@@ -28,15 +28,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import broadcast_if_small, stored
+from ..runtime import broadcast_if_small, spread, stored
 
 #: Intact texts that the classifier may be trained on, and the least number it can be trained on.
-SAMPLE_DOCUMENTS, LEAST_SAMPLE = 12_000, 50
+SAMPLE_DOCUMENTS, LEAST_SAMPLE = 6_000, 50
 #: Word pieces of the sample that count as known.
 KNOWN_PIECES = 20_000
 FEATURES = 1 << 15
 #: Shares of examples in training: cut texts, and intact texts without a final newline.
 CUT_SHARE, BARE_SHARE = 0.04, 0.13
+#: Share of intact texts that are as long as a limit by chance.
+LIMIT_BY_CHANCE = 0.0002
 #: A length is a limit of its source if at least so many texts have it, and so many times the texts around it.
 LIMIT_TEXTS, LIMIT_RATIO, LIMIT_SPAN = 8, 12.0, 64
 BIN = 0.25
@@ -118,7 +120,7 @@ def limits(documents: DataFrame) -> DataFrame:
 def with_limits(documents: DataFrame, found: DataFrame) -> DataFrame:
     """Non-empty documents with ``at_limit``: whether their length is a limit of their source."""
     by_source = found.groupBy("source").agg(F.collect_set(F.when(F.col("unit") == "chars", F.col("size"))).alias("chars"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("size"))).alias("bytes"))
-    rows = documents.where("text <> ''").select("doc_id", "text", "lang", "path", F.coalesce("source", F.lit("")).alias("source"))
+    rows = spread(documents.where("text <> ''").select("doc_id", "text", "lang", "path", "source")).select("doc_id", "text", "lang", "path", F.coalesce("source", F.lit("")).alias("source"))
     at: Column = F.array_contains("chars", F.length("text")) | F.array_contains("bytes", F.octet_length("text"))
     return rows.join(broadcast_if_small(by_source), "source", "left").select("doc_id", "source", "text", "lang", "path", F.coalesce(at, F.lit(False)).alias("at_limit"))
 
@@ -147,7 +149,7 @@ def _examples(known: frozenset[str]):
                 bare = text[:-1]
                 add(text, False, 0, 1 - BARE_SHARE)
                 add(bare[:-1] if bare.endswith("\r") else bare, False, 0, BARE_SHARE)
-                add(text, True, 0, 0.0005)
+                add(text, True, 0, LIMIT_BY_CHANCE)
                 for _ in range(3):
                     if len(data) > 20:
                         cut = data[: rng.integers(max(10, len(data) // 10), len(data) - 1)].decode("utf-8", "replace" if rng.random() < 0.7 else "ignore")
@@ -163,7 +165,7 @@ def _examples(known: frozenset[str]):
     return run
 
 
-def fit(features: list[np.ndarray], label: np.ndarray, weight: np.ndarray, steps: int = 300, ridge: float = 2e-6) -> np.ndarray:
+def fit(features: list[np.ndarray], label: np.ndarray, weight: np.ndarray, steps: int = 200, ridge: float = 2e-6) -> np.ndarray:
     """Weights of a weighted logistic regression over sets of hashed features, by full-batch Adam."""
     size = np.fromiter(map(len, features), np.int64, len(features))
     columns, starts = np.concatenate(features), np.concatenate([[0], np.cumsum(size)])[:-1]
@@ -193,7 +195,7 @@ def train(marked: DataFrame, most: int = SAMPLE_DOCUMENTS) -> Model | None:
     pieces = sample.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Z]?[a-z]+|[A-Z]+)(?![a-z])"), 1))).alias("piece"))
     counted = pieces.groupBy(F.lower("piece").alias("piece")).agg(F.count("*").alias("n")).where("n > 2")
     known = frozenset(r.piece for r in counted.orderBy(F.desc("n"), "piece").limit(KNOWN_PIECES).collect())
-    made = sample.mapInPandas(_examples(known), "fold bigint, features array<int>, label int, weight double").toPandas()
+    made = spread(sample).mapInPandas(_examples(known), "fold bigint, features array<int>, label int, weight double").toPandas()
     if len(made) < 5 * LEAST_SAMPLE:
         return None
     return Model(fit([np.asarray(f, np.int32) for f in made["features"]], made["label"].to_numpy(float), made["weight"].to_numpy()), known)
@@ -226,7 +228,7 @@ def source_shifts(scored: DataFrame, rounds: int = 30, weight: float = 20.0) ->
     Expectation maximisation over score histograms: at most two times ~100 bins a source reach the driver.
     """
     bins = scored.groupBy("source", "at_limit", F.round(F.greatest(F.lit(-12.0), F.least(F.lit(12.0), F.col("odds"))) / BIN).cast("int").alias("bin")).agg(F.count("*").alias("n")).toPandas()
-    base = {False: CUT_SHARE, True: CUT_SHARE / (CUT_SHARE + 0.0005)}
+    base = {False: CUT_SHARE, True: CUT_SHARE / (CUT_SHARE + LIMIT_BY_CHANCE)}
     out = []
     for (source, limit), part in bins.groupby(["source", "at_limit"]):
         z, n, prior = part["bin"].to_numpy() * BIN, part["n"].to_numpy(), base[bool(limit)]
