@@ -28,7 +28,7 @@ from . import tokenise
 SEED = 20_011
 HASH_BITS = 63
 #: Sums held by the driver at once: sources times buckets.
-MOST_SUMS = 1 << 16
+MOST_SUMS = 1 << 13
 
 
 @dataclass
