@@ -1,6 +1,7 @@
 """Parent-child links to full hierarchies: Euler tours ranked in parallel.
 
-1. Nodes get dense numbers in term order; a node has one parent (of several stated ones the smallest).
+1. Nodes get dense numbers in term order; a node has one parent (of several stated ones the smallest;
+   the others stay nodes).
 2. Leaves are peeled: what is left when nothing can be peeled are exactly the nodes on cycles.  Rounds shrink the links
    geometrically; a rest of at most ``LOCAL_LINKS`` links is peeled by one task, a larger rest that shrinks slowly (long
    chains) is resolved by pointer doubling.
@@ -47,7 +48,10 @@ def numbered_forest(links: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _peel_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Children on cycles among the links of one task."""
-    links = pd.concat(list(batches), ignore_index=True)
+    held = list(batches)
+    if not held:
+        return
+    links = pd.concat(held, ignore_index=True)
     while len(links):
         stays = links["child"].isin(links["parent"].unique())
         if stays.all():
@@ -109,18 +113,21 @@ def euler_arcs(links: DataFrame) -> DataFrame:
 
 def _rank_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Suffix sums of whole lists in one task, by pointer jumping over arrays."""
-    arcs = pd.concat(list(batches), ignore_index=True)
+    held = list(batches)
+    if not held:
+        return
+    arcs = pd.concat(held, ignore_index=True)
     ids = arcs["id"].to_numpy(np.int64)
     order = np.argsort(ids)
     ids, size = ids[order], len(ids)
     n, d = arcs["n"].to_numpy(np.int64)[order], arcs["d"].to_numpy(np.int64)[order]
-    nxt = arcs["nxt"].to_numpy(np.float64, na_value=-1)[order].astype(np.int64) if size else np.empty(0, np.int64)
-    at = np.where(nxt < 0, size, np.searchsorted(ids, nxt)) if size else nxt
+    nxt = arcs["nxt"].to_numpy(np.float64, na_value=-1)[order].astype(np.int64)
+    at = np.where(nxt < 0, size, np.searchsorted(ids, nxt))
     at, n, d, tail = np.append(at, size), np.append(n, 0), np.append(d, 0), np.arange(size + 1)
     while (at[:size] != size).any():
         tail = np.where(at == size, tail, tail[np.minimum(at, size)])
         n, d, at = n + n[at], d + d[at], at[at]
-    yield pd.DataFrame({"id": ids, "n": n[:size], "d": d[:size], "tail": ids[tail[:size]] if size else ids})
+    yield pd.DataFrame({"id": ids, "n": n[:size], "d": d[:size], "tail": ids[tail[:size]]})
 
 
 def rank_lists(arcs: DataFrame, local: int = LOCAL_ARCS) -> DataFrame:
@@ -159,13 +166,14 @@ def _tour(links: DataFrame, local_links: int, local_arcs: int) -> tuple[DataFram
     nodes, forest = numbered_forest(links)
     loops = stored(cycle_nodes(forest, local_links).select("child").distinct(), "loops")
     trees = stored(forest.join(loops, "child", "left_anti").select("child", "parent"), "trees")
-    lone = loops.join(trees.select(F.col("parent").alias("child")), "child", "left_anti")  # cycle nodes without other children
+    # cycle nodes without other children, and parents that were stated but not chosen
+    lone = nodes.select("id").join(trees.select(F.explode(F.array("child", "parent")).alias("id")).distinct(), "id", "left_anti")
     ranked = rank_lists(euler_arcs(trees), local_arcs)
     is_up = F.col("id") % 2 == 1
     spans = ranked.groupBy(F.shiftright("id", 1).alias("id")).agg(
         F.max(F.when(~is_up, F.col("n"))).alias("enter"), F.max(F.when(is_up, F.col("n"))).alias("leave"), (-F.max(F.when(~is_up, F.col("d")))).alias("depth"), F.shiftright(F.max("tail"), 1).alias("root")
     )
-    spans = spans.unionByName(lone.select(F.col("child").alias("id"), F.lit(2).cast("bigint").alias("enter"), F.lit(1).cast("bigint").alias("leave"), F.lit(0).cast("bigint").alias("depth"), F.col("child").alias("root")))
+    spans = spans.unionByName(lone.select("id", F.lit(2).cast("bigint").alias("enter"), F.lit(1).cast("bigint").alias("leave"), F.lit(0).cast("bigint").alias("depth"), F.col("id").alias("root")))
     spans = spans.join(loops.select(F.col("child").alias("root"), F.lit(True).alias("cyclic")), "root", "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
     return nodes, spans
 

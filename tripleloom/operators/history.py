@@ -22,6 +22,7 @@ from ..runtime import broadcast_if_small
 
 KEY = ["graph_name", "s", "p", "o"]
 OPEN = -1
+STORED = {"raw": "graph_name string, s string, p string, o string, seen array<int>", "chains": "graph_name string, s string, p string, o string, valid_from int, valid_to int"}
 
 
 def sightings(rows: DataFrame) -> DataFrame:
@@ -125,17 +126,17 @@ class ChainStore:
 
     def _read(self, kind: str, state: dict, only: list[int] | None = None) -> DataFrame | None:
         paths = [d for b, dirs in state[kind].items() if only is None or int(b) in only for d in dirs]
-        return self.spark.read.parquet(*[f"{self.path}/{d}" for d in paths]) if paths else None
+        return self.spark.read.schema(STORED[kind]).parquet(*[f"{self.path}/{d}" for d in paths]) if paths else None
 
     def apply(self, rows: DataFrame, log: DataFrame) -> None:
         state = self._manifest() or {"version": 0, "buckets": self.buckets, "raw": {}, "chains": {}}
         version = state["version"] + 1
         raw_dir, chain_dir = f"raw/{version}", f"chains/{version}"
         self._bucketed(sightings(rows)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{raw_dir}")
-        batch = self.spark.read.parquet(f"{self.path}/{raw_dir}")
-        if "bucket" not in batch.columns:  # nothing in the batch
-            return
+        batch = self.spark.read.schema(f"{STORED['raw']}, bucket int").parquet(f"{self.path}/{raw_dir}")
         hit = sorted(r.bucket for r in batch.select("bucket").distinct().collect())  # at most `buckets` rows
+        if not hit:
+            return
         changed, before = batch.drop("bucket"), self._read("raw", state, hit)
         if before is None:
             fresh = chains(changed, log)
