@@ -1,6 +1,6 @@
 """Encoding and decoding of a corpus with a public byte-level BPE.
 
-Map-only: no shuffle, texts stay in Arrow buffers, a worker keeps one transducer for all its tasks.  The vocabulary
+Map-only: no shuffle (but of scans with fewer partitions than cores), texts stay in Arrow buffers, a worker keeps one transducer for all its tasks.  The vocabulary
 file is read by the driver from the ``path`` parameter and sent as a broadcast variable (a few MB, the size of the file).
 
 Defined cases: empty and NULL texts have no ids; special tokens' strings are ordinary text; repeated rows are encoded
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
 from .bpe import Transducer, Vocabulary, decode_stream
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -42,7 +43,7 @@ def _transducer(sent) -> Transducer:
 
 
 def _texts(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("text_"))
+    return spread(df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("text_")))
 
 
 def encode(df: DataFrame, keep: list[str], text: str = "text", path: str = VOCABULARY) -> DataFrame:
