@@ -3,7 +3,7 @@ from conftest import NAMES, rows, term, triples
 
 from tripleloom.operators.store import TripleStore
 from tripleloom.plans.bgp import Var, match
-from tripleloom.plans.reasoner import Callback, closure, delete, delete_incremental, provenance_triples
+from tripleloom.plans.reasoner import Callback, closure, delete, delete_incremental, provenance_triples, row_callback
 from tripleloom.plans.rules import Rule, RuleError, default_rules, parse
 from pyspark.sql import functions as F
 
@@ -162,3 +162,13 @@ def test_accelerated_rules_give_the_same(spark):
     fast = closure(graph(spark, chain), default_rules()[2:3], fast=True)
     assert set(rows(slow.triples.select("s", "p", "o"))) == set(rows(fast.triples.select("s", "p", "o")))
     assert len(fast.rounds) < len(slow.rounds)
+
+
+def test_row_callback_and_conditions(spark):
+    call = row_callback((Var("s"), term("ex:age"), Var("o")), lambda s, o: [(s, "<next>", str(int(o) + 1))] if o.isdigit() else [])
+    rule = Rule(((Var("s"), "<next>", Var("o")),), ((Var("s"), "<old>", Var("o")),), (), "old", (lambda v: v("o").cast("int") > 30,))
+    done = closure(graph(spark, 'ex:A ex:age 30\nex:B ex:age 29\nex:C ex:age "no"'), [rule], [call], provenance=True)
+    new = set(rows(done.triples.where("round > 0").select("s", "p", "o")))
+    assert new == {(term("ex:A"), "<next>", "31"), (term("ex:B"), "<next>", "30"), (term("ex:A"), "<old>", "31")}
+    why = {r["p"]: {tuple(x) for x in r["premises"]} for r in done.derivations.where("s = '<http://example.com/A>'").collect()}
+    assert why == {"<next>": {(term("ex:A"), term("ex:age"), "30")}, "<old>": {(term("ex:A"), "<next>", "31")}}

@@ -1,4 +1,6 @@
 import pytest
+from pyspark.sql import functions as F
+
 from conftest import F1, rows, term, triples
 
 from tripleloom.operators import versions
@@ -117,3 +119,8 @@ def test_lookup_of_many_keys(spark, people):
 def test_extra_columns_are_ignored(spark):
     df = spark.createDataFrame([("<a>", "<b>", "<c>", 1), ("<a>", "<b>", "<c>", 2)], "s string, p string, o string, version int")
     assert rows(TripleStore(df).df) == triples("<a> <b> <c>")
+
+
+def test_map_terms(spark):
+    store = TripleStore.of(spark, [("<a>", "<b>", "<c>"), ("<A>", "<b>", "<c>")])
+    assert rows(store.map_terms(lambda c: F.upper(c)).df) == [("<A>", "<B>", "<C>")]

@@ -6,9 +6,9 @@ object, so constants prune files and row groups.  NULL terms are not triples and
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import sort_key_udf
@@ -53,6 +53,10 @@ class TripleStore:
     def overlay(self) -> Overlay:
         return Overlay(self)
 
+    def map_terms(self, f: Callable[[Column], Column]) -> TripleStore:
+        """With ``f`` applied to each term of each triple."""
+        return TripleStore(self.df.select(*[f(F.col(c)).alias(c) for c in PLACES]))
+
     # -- look-ups
 
     def where(self, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:

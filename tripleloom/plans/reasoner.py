@@ -8,10 +8,11 @@ that cannot are not planned.  Derivations are kept apart from triples and never
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,17 @@ class Callback:
     name: str = "callback"
 
 
+def row_callback(pattern: Pattern, fn: Callable[..., list[tuple[str, str, str]]], name: str = "callback") -> Callback:
+    """A callback by rows: ``fn`` gets the pattern's variables by name and gives triples, with the match as premise."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [(*t, row["matched"]) for row in b.to_dict("records") for t in fn(**{k: v for k, v in row.items() if k != "matched"})]
+            yield pd.DataFrame(made, columns=["s", "p", "o", "premises"])
+
+    return Callback(pattern, lambda matches, _: matches.mapInPandas(run, f"s string, p string, o string, premises array<{TRIPLE}>"), name)
+
+
 @dataclass
 class Closure:
     """``triples`` with ``round`` (0: asserted), ``derivations`` if they were kept, and what each round brought."""
@@ -60,6 +72,8 @@ def _possible(delta: DataFrame, shapes: set[tuple]) -> tuple[int, set[tuple]]:
 def _heads(solutions: DataFrame, rule: Rule, lineage: str | None) -> DataFrame:
     for a, b in rule.differ:
         solutions = solutions.where(F.col(a) != F.col(b))
+    for condition in rule.conditions:
+        solutions = solutions.where(condition(F.col))
     made = [F.struct(*[(F.col(t.name) if isinstance(t, Var) else F.lit(t)).alias(c) for c, t in zip(PLACES, h)]) for h in rule.head]
     extra = [F.lit(rule.name).alias("rule"), F.col(lineage).alias("premises")] if lineage else []
     return solutions.select(F.inline(F.array(*made)), *extra) if not extra else solutions.select(F.explode(F.array(*made)).alias("h"), *extra).select("h.*", "rule", "premises")
@@ -76,7 +90,7 @@ def accelerate(rules: Sequence[Rule]) -> list[Rule]:
     """
     made: list[Rule] = []
     for rule in rules:
-        steps = [(a, b) for a, b in (rule.body, rule.body[::-1])] if len(rule.body) == 2 and len(rule.head) == 1 and not rule.differ else []
+        steps = [(a, b) for a, b in (rule.body, rule.body[::-1])] if len(rule.body) == 2 and len(rule.head) == 1 and not rule.differ and not rule.conditions else []
         for (t, link, u), (x, q, again) in steps:
             names = [v for v in (t, u, x, again) if isinstance(v, Var)]
             if len(names) == 4 and len({t, u, x}) == 3 and again == t and not isinstance(link, Var) and not isinstance(q, Var) and rule.head == ((x, q, u),) and link != q:
