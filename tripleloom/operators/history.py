@@ -57,30 +57,35 @@ def build_chains(rows: DataFrame, log: DataFrame) -> DataFrame:
     return chains(sightings(rows), log)
 
 
-def late_rows(rows: DataFrame, log: DataFrame, late: bool) -> DataFrame:
-    """The rows loaded after a later snapshot of their graph had been taken, or the others."""
+def with_late(rows: DataFrame, log: DataFrame) -> DataFrame:
+    """Rows with ``late``: whether they were loaded after a later snapshot of their graph had been taken."""
     taken = log.where("taken_at IS NOT NULL AND version IS NOT NULL").groupBy("graph_name").agg(F.collect_set(F.struct("version", "taken_at")).alias("taken"))
     marked = rows.join(broadcast_if_small(taken), "graph_name", "left")
-    is_late = F.coalesce(F.exists("taken", lambda t: (t["version"] > F.col("version")) & (t["taken_at"] <= F.col("loaded_at"))), F.lit(False))
-    return marked.where(is_late if late else ~is_late).drop("taken")
+    late = F.exists("taken", lambda t: (t["version"] > F.col("version")) & (t["taken_at"] <= F.col("loaded_at")))
+    return marked.withColumn("late", F.coalesce(late, F.lit(False))).drop("taken")
 
 
-def rebuild_affected(seen: DataFrame, changed: DataFrame, log: DataFrame) -> DataFrame:
-    """All chains after the sightings ``changed`` arrived on top of ``seen``.
+def rebuild_affected(both: DataFrame, log: DataFrame) -> DataFrame:
+    """All chains of (graph_name, s, p, o, seen, changed) after the sightings ``changed`` arrived on top of ``seen``.
 
-    Both sides are partitioned by the triple, so finding the touched chains, fetching their raw sightings and dropping
-    their old chains are joins without another shuffle; only touched triples are aggregated again.
+    Chains without a change stay as they are; a touched chain is rebuilt as a whole from its triple's raw sightings.
+    Both branches read one shuffle.
     """
-    kept = chains(seen.join(changed.select(*KEY), KEY, "left_anti"), log)
-    raw = seen.join(changed.select(*KEY), KEY, "left_semi").unionByName(changed)
-    merged = raw.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("seen"))
-    return kept.unionByName(chains(merged, log))
+    touched = F.size(F.coalesce("changed", F.array())) > 0
+    kept = chains(both.where(~touched).select(*KEY, "seen"), log)
+    raw = F.array_sort(F.array_distinct(F.concat(F.coalesce("seen", F.array().cast("array<int>")), F.col("changed"))))
+    return kept.unionByName(chains(both.where(touched).select(*KEY, raw.alias("seen")), log))
 
 
 def history(rows: DataFrame, log: DataFrame) -> DataFrame:
-    """Chains of all rows: those in time first, then the late ones as a correction of the chains they touch."""
-    rows = rows.select("graph_name", "version", "s", "p", "o", "loaded_at")
-    return rebuild_affected(sightings(late_rows(rows, log, False)), sightings(late_rows(rows, log, True)), log)
+    """Chains of all rows: those in time make the chains, the late ones are a correction of the chains they touch.
+
+    One scan and one shuffle: both kinds of sightings of a triple are gathered by one aggregate, combined map-side.
+    """
+    marked = with_late(rows.select("graph_name", "version", "s", "p", "o", "loaded_at"), log)
+    shown = marked.select("graph_name", "s", "p", plain_string(F.col("o")).alias("o"), F.col("version").cast("int").alias("version"), "late").dropna()
+    of = lambda late: F.array_sort(F.collect_set(F.when(F.col("late") == late, F.col("version"))))
+    return rebuild_affected(shown.groupBy(*KEY).agg(of(False).alias("seen"), of(True).alias("changed")), log)
 
 
 def as_of(periods: DataFrame, version: int) -> DataFrame:
@@ -142,7 +147,7 @@ class ChainStore:
             fresh = chains(changed, log)
         else:  # raw sightings of several batches are one sighting list
             merged = before.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("seen"))
-            fresh = rebuild_affected(merged, changed, log)
+            fresh = rebuild_affected(merged.join(changed.withColumnRenamed("seen", "changed"), KEY, "full"), log)
         self._bucketed(fresh).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{chain_dir}")
         for b in hit:
             state["raw"].setdefault(str(b), []).append(f"{raw_dir}/bucket={b}")

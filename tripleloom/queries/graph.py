@@ -57,8 +57,9 @@ def graph(spark: SparkSession, d: str, *names: str) -> DataFrame:
 
 
 def as_set(spark: SparkSession, d: str, *names: str) -> DataFrame:
-    """The graph without repeats, for tables whose key is not unique."""
-    return graph(spark, d, *names).distinct()
+    """The graph without repeats; only line items have a key that is not unique."""
+    once = [n for n in names if n != "lineitem"]
+    return graph(spark, d, "lineitem").distinct().unionByName(graph(spark, d, *once))
 
 
 def pred(column: str) -> str:
