@@ -7,7 +7,8 @@
    with and without their final newline.  Features are hashed: closing characters, shape of the last line, last word
    piece and whether the corpus knows it, open brackets, quotes and comments of the whole text, length against the limit.
 3. Every record is scored over its whole text.  How often a source truncates shifts its records' odds: the shares are
-   estimated by expectation maximisation over a histogram of scores by source (texts at a limit apart).
+   estimated by expectation maximisation over a histogram of scores by source.  At a limit the odds are shifted by how many
+   times more texts have that length than lengths around it.
 4. All copies of a text that is cut off somewhere are cut off.
 
 Defined cases: NULL and empty texts are not truncated; a NULL source is a source of its own; a NULL or wrong language
@@ -108,21 +109,25 @@ def _hash(names: list[str]) -> np.ndarray:
 
 
 def limits(documents: DataFrame) -> DataFrame:
-    """(source, unit, size, texts): lengths that are limits of their source; unit is ``chars`` or ``bytes``."""
+    """(source, unit, size, texts, ratio): lengths that are limits of their source; unit is ``chars`` or ``bytes``.
+
+    ``ratio`` says how many times more texts have the length than a length around it.
+    """
     texts = documents.where("text <> ''").select(F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("mark"))
     each = texts.distinct().select("source", F.inline(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))))
     counts = each.groupBy("source", "unit", "size").agg(F.count("*").alias("texts"))
     around = Window.partitionBy("source", "unit").orderBy("size").rangeBetween(-LIMIT_SPAN, LIMIT_SPAN)
     rest = (F.sum("texts").over(around) - F.col("texts")) / (2 * LIMIT_SPAN)
-    return counts.withColumn("rest", rest).where((F.col("texts") >= LIMIT_TEXTS) & (F.col("texts") >= LIMIT_RATIO * F.greatest("rest", F.lit(0.25)))).drop("rest")
+    return counts.withColumn("ratio", F.col("texts") / F.greatest(rest, F.lit(0.25))).where((F.col("texts") >= LIMIT_TEXTS) & (F.col("ratio") >= LIMIT_RATIO))
 
 
 def with_limits(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """Non-empty documents with ``at_limit``: whether their length is a limit of their source."""
-    by_source = found.groupBy("source").agg(F.collect_set(F.when(F.col("unit") == "chars", F.col("size"))).alias("chars"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("size"))).alias("bytes"))
+    """Non-empty documents with ``at_limit``: whether their length is a limit of their source, and the limit's ratio."""
+    ratios = lambda unit: F.map_from_entries(F.collect_list(F.when(F.col("unit") == unit, F.struct("size", "ratio")))).alias(unit)
+    by_source = found.groupBy("source").agg(ratios("chars"), ratios("bytes"))
     rows = spread(documents.where("text <> ''").select("doc_id", "text", "lang", "path", "source")).select("doc_id", "text", "lang", "path", F.coalesce("source", F.lit("")).alias("source"))
-    at: Column = F.array_contains("chars", F.length("text")) | F.array_contains("bytes", F.octet_length("text"))
-    return rows.join(broadcast_if_small(by_source), "source", "left").select("doc_id", "source", "text", "lang", "path", F.coalesce(at, F.lit(False)).alias("at_limit"))
+    ratio: Column = F.greatest(F.try_element_at("chars", F.length("text")), F.try_element_at("bytes", F.octet_length("text")))
+    return rows.join(broadcast_if_small(by_source), "source", "left").select("doc_id", "source", "text", "lang", "path", ratio.alias("ratio")).withColumn("at_limit", F.col("ratio").isNotNull())
 
 
 # -- training ----------------------------------------------------------------------------------------------------
@@ -153,6 +158,8 @@ def _examples(known: frozenset[str]):
                 for _ in range(3):
                     if len(data) > 20:
                         cut = data[: rng.integers(max(10, len(data) // 10), len(data) - 1)].decode("utf-8", "replace" if rng.random() < 0.7 else "ignore")
+                        if rng.random() < 0.1 and not cut.endswith("\ufffd"):
+                            cut += "\ufffd"  # the cut went through a character
                         if text[len(cut) :].strip():
                             add(cut, False, 1, CUT_SHARE / 3)
                 for _ in range(2):
@@ -205,48 +212,52 @@ def train(marked: DataFrame, most: int = SAMPLE_DOCUMENTS) -> Model | None:
 
 
 def score(marked: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, source, at_limit, mark, size, odds) of every non-empty document; log-odds at the training share."""
+    """(doc_id, source, ratio, mark, size, odds) of every non-empty document; log-odds at the training share."""
     if model is None:
         opens = F.size(F.regexp_extract_all("text", F.lit(r"([{(\[])"), 1)) > F.size(F.regexp_extract_all("text", F.lit(r"([})\]])"), 1))
         odds = F.when(F.col("at_limit") | (opens & ~F.endswith("text", F.lit("\n"))), 4.0).otherwise(-4.0)
-        return marked.select("doc_id", "source", "at_limit", F.xxhash64("text").alias("mark"), F.length("text").alias("size"), odds.alias("odds"))
+        return marked.select("doc_id", "source", "ratio", F.xxhash64("text").alias("mark"), F.length("text").alias("size"), odds.alias("odds"))
     sent = marked.sparkSession.sparkContext.broadcast(model)  # FEATURES doubles and at most KNOWN_PIECES words
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, known = sent.value.weights, sent.value.known
         for b in batches:
             odds = [float(w[_hash(describe(t, lang, path, limit, known))].sum()) for t, lang, path, limit in zip(b["text"], b["lang"], b["path"], b["at_limit"])]
-            yield b[["doc_id", "source", "at_limit", "mark", "size"]].assign(odds=odds)
+            yield b[["doc_id", "source", "ratio", "mark", "size"]].assign(odds=odds)
 
-    rows = marked.select("doc_id", "source", "at_limit", F.xxhash64("text").alias("mark"), F.length("text").alias("size"), "text", "lang", "path")
-    return rows.mapInPandas(run, "doc_id bigint, source string, at_limit boolean, mark bigint, size int, odds double")
+    rows = marked.select("doc_id", "source", "ratio", "at_limit", F.xxhash64("text").alias("mark"), F.length("text").alias("size"), "text", "lang", "path")
+    return rows.mapInPandas(run, "doc_id bigint, source string, ratio double, mark bigint, size int, odds double")
 
 
 def source_shifts(scored: DataFrame, rounds: int = 30, weight: float = 20.0) -> DataFrame:
-    """(source, at_limit, shift): what the source's own share of truncated texts adds to the log-odds.
+    """(source, shift): what the source's own share of truncated texts adds to the log-odds of texts at no limit.
 
-    Expectation maximisation over score histograms: at most two times ~100 bins a source reach the driver.
+    Expectation maximisation over score histograms: about 100 bins a source reach the driver.
     """
-    bins = scored.groupBy("source", "at_limit", F.round(F.greatest(F.lit(-12.0), F.least(F.lit(12.0), F.col("odds"))) / BIN).cast("int").alias("bin")).agg(F.count("*").alias("n")).toPandas()
-    base = {False: CUT_SHARE, True: CUT_SHARE / (CUT_SHARE + LIMIT_BY_CHANCE)}
+    free = scored.where("ratio IS NULL AND size >= " + str(LEAST_CHARS))
+    bins = free.groupBy("source", F.round(F.greatest(F.lit(-12.0), F.least(F.lit(12.0), F.col("odds"))) / BIN).cast("int").alias("bin")).agg(F.count("*").alias("n")).toPandas()
+    logit = lambda p: float(np.log(p / (1 - p)))
     out = []
-    for (source, limit), part in bins.groupby(["source", "at_limit"]):
-        z, n, prior = part["bin"].to_numpy() * BIN, part["n"].to_numpy(), base[bool(limit)]
-        start = share = prior
+    for source, part in bins.groupby("source"):
+        z, n, share = part["bin"].to_numpy() * BIN, part["n"].to_numpy(), CUT_SHARE
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-(z + np.log(share / (1 - share)) - np.log(start / (1 - start)))))
-            share = ((p * n).sum() + weight * prior) / (n.sum() + weight)
-            share = min(max(share, 1e-5), 1 - 1e-5)
-        out.append((source, bool(limit), float(np.log(share / (1 - share)) - np.log(start / (1 - start)))))
-    return scored.sparkSession.createDataFrame(pd.DataFrame(out, columns=["source", "at_limit", "shift"]), "source string, at_limit boolean, shift double")
+            p = 1 / (1 + np.exp(-(z + logit(share) - logit(CUT_SHARE))))
+            share = min(max(((p * n).sum() + weight * CUT_SHARE) / (n.sum() + weight), 1e-5), 1 - 1e-5)
+        out.append((source, logit(share) - logit(CUT_SHARE)))
+    return scored.sparkSession.createDataFrame(pd.DataFrame(out, columns=["source", "shift"]), "source string, shift double")
 
 
 def judged(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
-    """(doc_id, source, at_limit, mark, size, odds, cut) of every non-empty document."""
+    """(doc_id, source, at_limit, mark, size, odds, cut) of every non-empty document.
+
+    At a limit the prior odds are the limit's ratio: so many texts were cut for one that has the length by chance.
+    """
     marked = with_limits(documents, stored(limits(documents), "limits"))
     scored = stored(score(marked, train(marked, sample)), "scored")
-    shifted = scored.join(broadcast_if_small(source_shifts(scored)), ["source", "at_limit"], "left")
-    return shifted.select("doc_id", "source", "at_limit", "mark", "size", (F.col("odds") + F.coalesce("shift", F.lit(0.0))).alias("odds")).withColumn("cut", (F.col("odds") > 0) & (F.col("size") >= LEAST_CHARS))
+    shifted = scored.join(broadcast_if_small(source_shifts(scored)), "source", "left")
+    shift = F.when(F.col("ratio").isNotNull(), F.log(F.col("ratio")) - F.lit(float(np.log(CUT_SHARE / LIMIT_BY_CHANCE)))).otherwise(F.coalesce("shift", F.lit(0.0)))
+    rows = shifted.select("doc_id", "source", F.col("ratio").isNotNull().alias("at_limit"), "mark", "size", (F.col("odds") + shift).alias("odds"))
+    return rows.withColumn("cut", (F.col("odds") > 0) & (F.col("size") >= LEAST_CHARS))
 
 
 def truncated(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
