@@ -18,6 +18,13 @@ def test_total_order():
     assert sorted(shuffled, key=lambda k: sort_key(k) or b"") == ORDERED
 
 
+def test_text_that_is_no_term_comes_last():
+    odd = ["<< <a> <b> >>", "<< <a>\t <b> \t>>", "<< <a> <b <c> >>", "<<", "<<>>", "abc", '"open', "<open", '"x">', "9" * 5000, "1.2.3", ""]
+    assert all(sort_key(k) >= b"\x03" for k in odd)
+    assert sorted(["zzz", "abc", '"a"^^<x>'], key=sort_key) == ['"a"^^<x>', "abc", "zzz"]
+    assert sort_key("0." + "1" * 60) < sort_key("0.2")
+
+
 @given(st.lists(st.integers()))
 def test_integers_order_by_value(values):
     assert sorted(map(str, values), key=sort_key) == list(map(str, sorted(values)))

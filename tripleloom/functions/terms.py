@@ -94,7 +94,7 @@ def split_quoted(key: str) -> tuple[str, str, str]:
         j = term_end(inner, i)
         parts.append(inner[i:j])
         i = j
-        while i < len(inner) and inner[i] == " ":
+        while i < len(inner) and inner[i] in " \t":
             i += 1
     if len(parts) != 3:
         raise ValueError(f"not a quoted triple: {key}")
@@ -144,14 +144,22 @@ def _integer(n: int, width: int) -> bytes:
 def sort_key(key: str | None) -> bytes | None:
     """Bytes whose unsigned order is the total order of terms: kind, then value, quoted triples component by component.
 
-    Integers and decimals are ordered exactly up to 60 digits before the point and 40 behind it.
+    Integers and decimals are ordered exactly up to 60 digits before the point and 40 behind it.  Text that is no term
+    follows all terms, in the order of its code points.
     """
     if key is None:
         return None
+    try:
+        return _term_key(key)
+    except (ValueError, TypeError, IndexError):
+        return bytes([TYPED + 1]) + _bytes(key)
+
+
+def _term_key(key: str) -> bytes:
     k = kind_of(key)
     head = bytes([k])
     if k == QUOTED:
-        return head + b"".join(sort_key(x) for x in split_quoted(key))
+        return head + b"".join(_term_key(x) for x in split_quoted(key))
     if k == IRI:
         return head + _bytes(key[1:-1])
     if k == BLANK:
@@ -169,7 +177,8 @@ def sort_key(key: str | None) -> bytes | None:
         return head + _integer(int(key), 60) + _bytes(key)
     if k == DECIMAL:
         sign, digits, exponent = Decimal(key).as_tuple()
-        scaled = int("".join(map(str, digits))) * 10 ** (40 + exponent)
+        scaled, shift = int("".join(map(str, digits))), 40 + exponent
+        scaled = scaled * 10**shift if shift >= 0 else scaled // 10**-shift
         return head + _integer(-scaled if sign else scaled, 100) + _bytes(key)
     bits = struct.unpack(">Q", struct.pack(">d", float(key)))[0]
     return head + struct.pack(">Q", bits ^ (0xFFFFFFFFFFFFFFFF if bits >> 63 else 1 << 63)) + _bytes(key)
