@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import stored
 from .numbering import Numbered, number_rows
 
 CHUNK_ROWS = 1 << 16
@@ -77,7 +78,7 @@ def top_subjects(triples: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     empty table gives no rows.
     """
     distinct = triples.select("p", "s", "o").dropna().distinct()
-    states = chunk_states(number_rows(distinct, "p", "s", "o"), "p", _run_states, "p string, s string, n bigint, edge boolean", chunk_rows)
+    states = stored(chunk_states(number_rows(distinct, "p", "s", "o"), "p", _run_states, "p string, s string, n bigint, edge boolean", chunk_rows), "states")
     edges = states.where("edge").groupBy("p", "s").agg(F.sum("n").alias("n"))
     runs = states.where("NOT edge").select("p", "s", "n").unionByName(edges)
     best = runs.groupBy("p").agg(F.min(F.struct((-F.col("n")).alias("n"), "s")).alias("best"))
