@@ -81,3 +81,54 @@ def test_as_of(spark):
     df = spark.createDataFrame([("<a>", 1, 3), ("<b>", 2, -1)], "s string, valid_from int, valid_to int")
     assert [r.s for r in history.as_of(df, 3).collect()] == ["<b>"]
     assert history.as_of(df, 2).count() == 2
+
+
+def kept(store):
+    return rows(store.read().select("s", "p", "o", "valid_from", "valid_to"))
+
+
+def test_store_ends_periods_as_the_log_grows(spark, tmp_path):
+    found = [(i, "ab"[i % 2], 1, f"<s{i}>", "<p>", "<o>", START) for i in range(20)]
+    store = history.ChainStore(spark, f"file://{tmp_path}/chains", buckets=64)
+    log = []
+
+    def apply(shown, *entries):
+        log.extend(entries)
+        store.apply(spark.createDataFrame(shown, SNAPSHOTS), spark.createDataFrame(log, LOG))
+        done.extend(shown)
+        assert kept(store) == brute(done, log)
+
+    done = []
+    apply(found, ("a", 1, True, START), ("b", 1, True, START))
+    apply([(20, "a", 2, "<s0>", "<p>", "<o>", START)], ("a", 2, True, START))  # small: ends nine others of a, none of b
+    assert sum(r[-1] == 2 for r in kept(store)) == 9
+    apply([], ("b", 2, False, START))
+    apply([], ("b", 3, True, START))  # empty: ends all of b
+    assert sum(r[-1] == 3 for r in kept(store)) == 10
+    log.remove(("b", 2, False, START))
+    apply([], ("b", 2, True, START))  # a correction of the log without rows
+    assert sum(r[-1] == 2 for r in kept(store)) == 19
+    log.remove(("b", 2, True, START))
+    apply([(21, "b", 2, "<s1>", "<p>", "<o>", START)])
+
+
+def test_store_does_not_depend_on_batches_and_buckets(spark, tmp_path):
+    found, log = sample(4, 120)
+    for buckets in (1, 64):
+        store = history.ChainStore(spark, f"file://{tmp_path}/{buckets}", buckets)
+        for v in (3, 6, 9):
+            part, known = [r for r in found if v - 3 < r[2] <= v], [e for e in log if e[1] <= v]
+            store.apply(spark.createDataFrame(part, SNAPSHOTS), spark.createDataFrame(known, LOG))
+        assert kept(store) == brute(found, log)
+
+
+def test_stream_reads_the_log_anew(spark, tmp_path):
+    from tripleloom.streaming.incremental import stream_history
+
+    for v, shown in ((1, ["<x>", "<y>"]), (2, ["<x>"])):
+        spark.createDataFrame([(1, "g", v, s, "<p>", "<o>", START) for s in shown], SNAPSHOTS).coalesce(1).write.parquet(f"{tmp_path}/in/part={v}")
+    logs = iter([[("g", 1, True, START)], [("g", 1, True, START), ("g", 2, True, START)]])
+    store = history.ChainStore(spark, f"file://{tmp_path}/chains")
+    source = spark.readStream.schema(SNAPSHOTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    stream_history(source, lambda: spark.createDataFrame(next(logs), LOG), store, f"{tmp_path}/checkpoint").awaitTermination()
+    assert sorted(r[-1] for r in kept(store)) == [-1, 2]

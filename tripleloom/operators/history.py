@@ -23,6 +23,7 @@ from ..runtime import broadcast_if_small
 KEY = ["graph_name", "s", "p", "o"]
 OPEN = -1
 STORED = {"raw": "graph_name string, s string, p string, o string, seen array<int>", "chains": "graph_name string, s string, p string, o string, valid_from int, valid_to int"}
+PROOFS = "graph_name string, proofs array<int>"
 
 
 def sightings(rows: DataFrame) -> DataFrame:
@@ -95,9 +96,11 @@ def as_of(periods: DataFrame, version: int) -> DataFrame:
 class ChainStore:
     """Raw sightings and chains in ``path``, in ``buckets`` hash buckets of the triple.
 
-    ``apply`` appends the batch's sightings, rebuilds the touched chains of the touched buckets and publishes them by
-    renaming one manifest file: a reader sees all of a batch or nothing of it, and a batch that is applied again
-    changes nothing.
+    ``apply`` takes a batch of sightings and the whole log as known then.  It appends the sightings, rebuilds the
+    affected chains, keeps the others of their buckets as stored, and publishes by renaming one manifest file: a reader
+    sees all of a batch or nothing of it, and a batch that is applied again changes nothing.  Affected are the chains of
+    the triples that the batch shows and, as a period ends by absence, all chains of the graphs whose complete snapshots
+    are not those of the manifest.  A log that changed without sightings is applied with an empty batch.
     """
 
     def __init__(self, spark, path: str, buckets: int = 64):
@@ -133,26 +136,44 @@ class ChainStore:
         paths = [d for b, dirs in state[kind].items() if only is None or int(b) in only for d in dirs]
         return self.spark.read.schema(STORED[kind]).parquet(*[f"{self.path}/{d}" for d in paths]) if paths else None
 
+    def _moved(self, state: dict, proofs: DataFrame) -> DataFrame:
+        """Graphs whose complete snapshots are not those of the manifest; of a store without them, all its graphs."""
+        if "proofs" not in state:
+            known = self._read("chains", state)
+            return (proofs if known is None else known).select("graph_name").distinct()
+        old = self.spark.read.schema(PROOFS).parquet(f"{self.path}/{state['proofs']}")
+        return old.unionByName(proofs).groupBy("graph_name", "proofs").count().where("count = 1").select("graph_name").distinct()
+
     def apply(self, rows: DataFrame, log: DataFrame) -> None:
         state = self._manifest() or {"version": 0, "buckets": self.buckets, "raw": {}, "chains": {}}
         version = state["version"] + 1
-        raw_dir, chain_dir = f"raw/{version}", f"chains/{version}"
+        raw_dir, chain_dir, proof_dir = f"raw/{version}", f"chains/{version}", f"proofs/{version}"
         self._bucketed(sightings(rows)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{raw_dir}")
+        complete_versions(log).write.mode("overwrite").parquet(f"{self.path}/{proof_dir}")
         batch = self.spark.read.schema(f"{STORED['raw']}, bucket int").parquet(f"{self.path}/{raw_dir}")
-        hit = sorted(r.bucket for r in batch.select("bucket").distinct().collect())  # at most `buckets` rows
+        proofs = self.spark.read.schema(PROOFS).parquet(f"{self.path}/{proof_dir}")
+        log = proofs.select("graph_name", F.explode("proofs").alias("version"), F.lit(True).alias("complete"))  # the log as written, should it grow meanwhile
+        shown = sorted(r.bucket for r in batch.select("bucket").distinct().collect())  # at most `buckets` rows
+        changed, stored, moved = batch.drop("bucket"), self._read("chains", state), broadcast_if_small(self._moved(state, proofs))
+        ended = [] if stored is None else [r.bucket for r in self._bucketed(stored.join(moved, "graph_name", "left_semi")).select("bucket").distinct().collect()]
+        hit = sorted({*shown, *ended})
         if not hit:
             return
-        changed, before = batch.drop("bucket"), self._read("raw", state, hit)
+        before, kept = self._read("raw", state, hit), self._read("chains", state, hit)
         if before is None:
             fresh = chains(changed, log)
         else:  # raw sightings of several batches are one sighting list
-            merged = before.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("seen"))
-            fresh = rebuild_affected(merged.join(changed.withColumnRenamed("seen", "changed"), KEY, "full"), log)
+            keys = broadcast_if_small(changed.select(*KEY))
+            still = before.join(moved, "graph_name", "left_anti").join(keys, KEY, "left_semi")
+            raw = before.join(moved, "graph_name", "left_semi").unionByName(still).unionByName(changed)
+            merged = raw.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("seen"))
+            fresh = chains(merged, log).unionByName(kept.join(moved, "graph_name", "left_anti").join(keys, KEY, "left_anti"))
         self._bucketed(fresh).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{chain_dir}")
-        for b in hit:
+        for b in shown:
             state["raw"].setdefault(str(b), []).append(f"{raw_dir}/bucket={b}")
+        for b in hit:
             state["chains"][str(b)] = [f"{chain_dir}/bucket={b}"]
-        state["version"] = version
+        state["version"], state["proofs"] = version, proof_dir
         self._publish(state)
 
     def read(self) -> DataFrame | None:

@@ -7,7 +7,7 @@ and changes carry their own order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +47,10 @@ def stream_changes(feed: DataFrame, table: DeltaVectorTable, checkpoint: str, **
     return feed.writeStream.foreachBatch(lambda batch, _: table.apply(batch)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def stream_history(rows: DataFrame, log: DataFrame, store: ChainStore, checkpoint: str, **trigger):
-    """Sightings into a store of validity periods."""
-    return rows.writeStream.foreachBatch(lambda batch, _: store.apply(batch, log)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def stream_history(rows: DataFrame, log: DataFrame | Callable[[], DataFrame], store: ChainStore, checkpoint: str, **trigger):
+    """Sightings into a store of validity periods.
+
+    A log that grows is given as a function, called for each batch: a table read once keeps the list of its files.
+    """
+    current = log if callable(log) else lambda: log
+    return rows.writeStream.foreachBatch(lambda batch, _: store.apply(batch, current())).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
