@@ -1,3 +1,5 @@
+import inspect
+
 import pytest
 from conftest import NAMES, rows, term, triples
 
@@ -172,3 +174,18 @@ def test_row_callback_and_conditions(spark):
     assert new == {(term("ex:A"), "<next>", "31"), (term("ex:B"), "<next>", "30"), (term("ex:A"), "<old>", "31")}
     why = {r["p"]: {tuple(x) for x in r["premises"]} for r in done.derivations.where("s = '<http://example.com/A>'").collect()}
     assert why == {"<next>": {(term("ex:A"), term("ex:age"), "30")}, "<old>": {(term("ex:A"), "<next>", "31")}}
+
+
+@pytest.mark.parametrize("provenance", [False, True])
+def test_a_bound_on_rounds_never_gives_a_part(spark, provenance):
+    df = graph(spark, "\n".join(f"ex:c{i} rdfs:subclassOf ex:c{i + 1}" for i in range(4)) + "\nex:x a ex:c0")
+    rule = default_rules()[2:3]
+    whole = closure(df, rule, provenance=provenance)
+    assert len(whole.rounds) == 6 and whole.triples.count() == 9
+    assert closure(df, rule, provenance=provenance, most_rounds=4).triples.count() == 9  # just enough
+    with pytest.raises(RuntimeError, match="round 4 brings 1 more"):
+        closure(df, rule, provenance=provenance, most_rounds=3)
+
+
+def test_rounds_are_not_bounded_by_default():
+    assert inspect.signature(closure).parameters["most_rounds"].default is None

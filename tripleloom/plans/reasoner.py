@@ -125,11 +125,13 @@ def derive(rules: Sequence[Rule], old: DataFrame, delta: DataFrame, full: DataFr
     return found
 
 
-def closure(triples: DataFrame, rules: Sequence[Rule], callbacks: Sequence[Callback] = (), provenance: bool = False, base: DataFrame | None = None, most_rounds: int = 1000, fast: bool = False) -> Closure:
+def closure(triples: DataFrame, rules: Sequence[Rule], callbacks: Sequence[Callback] = (), provenance: bool = False, base: DataFrame | None = None, most_rounds: int | None = None, fast: bool = False) -> Closure:
     """Least fixpoint of ``rules`` over ``triples``; with ``base``, a closed set that ``triples`` are added to.
 
     The result does not depend on the order of loading.  With ``provenance`` every derivation is kept: the first ones of
-    a triple always, later ones unless they are circular in one step.  ``fast`` uses ``accelerate``; it keeps no
+    a triple always, later ones unless they are circular in one step.  Rules alone always end; callbacks that make ever
+    new terms do not.  ``most_rounds`` bounds the rounds that bring something new: a closure that needs more of them
+    raises a RuntimeError and returns nothing.  ``fast`` uses ``accelerate``; it keeps no
     derivations, and ``round`` is then the round in which the accelerated rules found a triple.
     """
     if fast:
@@ -149,8 +151,10 @@ def closure(triples: DataFrame, rules: Sequence[Rule], callbacks: Sequence[Callb
         delta = read([k])
         n, live = _possible(delta, shapes)
         counts.append(n)
-        if not n or k >= most_rounds:
+        if not n:
             break
+        if most_rounds is not None and k > most_rounds:
+            raise RuntimeError(f"no fixpoint after {most_rounds} rounds: round {k} brings {n} more triples")
         before, there = there, there | live
         old = base.unionByName(read(range(k))) if k else base
         full = base.unionByName(read(range(k + 1)))
