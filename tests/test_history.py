@@ -2,6 +2,7 @@ import random
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from tripleloom.operators import history
 
@@ -132,3 +133,32 @@ def test_stream_reads_the_log_anew(spark, tmp_path):
     source = spark.readStream.schema(SNAPSHOTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
     stream_history(source, lambda: spark.createDataFrame(next(logs), LOG), store, f"{tmp_path}/checkpoint").awaitTermination()
     assert sorted(r[-1] for r in kept(store)) == [-1, 2]
+
+
+def test_p1_found_corrects_a_store(spark, tmp_path, monkeypatch):
+    from tripleloom.queries import problems
+
+    found, log = sample(5)
+    spark.createDataFrame(found, SNAPSHOTS).write.parquet(f"{tmp_path}/graph_snapshots.parquet")
+    spark.createDataFrame(log, LOG).write.parquet(f"{tmp_path}/snapshot_log.parquet")
+    batches, apply = [], history.ChainStore.apply
+    monkeypatch.setattr(history.ChainStore, "apply", lambda self, rows, log: (batches.append(rows.count()), apply(self, rows, log)))
+    assert rows(problems.p1_found(spark, str(tmp_path))) == brute(found, log)
+    assert len(batches) == 2 and min(batches) > 0 and sum(batches) == len(found)
+
+
+def test_late_sightings_leave_other_chains_as_stored(spark, tmp_path):
+    log = spark.createDataFrame([("a", 1, True, START), ("a", 2, True, START)], LOG)
+    store = history.ChainStore(spark, f"file://{tmp_path}/chains", buckets=1)
+    store.apply(spark.createDataFrame([(i, "a", 1, f"<s{i}>", "<p>", "<o>", START) for i in range(3)], SNAPSHOTS), log)
+    stored = store.read().withColumn("valid_to", F.lit(77))  # marks what is copied
+    path = store._manifest()["chains"]["0"][0]
+    made = stored.collect()
+    spark.createDataFrame(made, history.STORED["chains"]).coalesce(1).write.mode("overwrite").parquet(f"{store.path}/{path}")
+    store.apply(spark.createDataFrame([(9, "a", 2, "<s1>", "<p>", "<o>", START)], SNAPSHOTS), log)
+    assert {r[0]: r[-1] for r in kept(store)} == {"<s0>": 77, "<s1>": -1, "<s2>": 77}
+
+
+def test_corrected_empty(spark, tmp_path):
+    store = history.ChainStore(spark, f"file://{tmp_path}/chains")
+    assert history.corrected(store, spark.createDataFrame([], SNAPSHOTS), spark.createDataFrame([], LOG)).count() == 0

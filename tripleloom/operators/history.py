@@ -1,9 +1,9 @@
 """History of changing facts: validity periods built from periodic snapshots and kept by affected-chain rebuild.
 
-A *chain* is the ordered list of periods of one triple of one graph.  ``build_chains`` makes all chains at once.
-``rebuild_affected`` takes late or corrected sightings: only the chains they touch are rebuilt from those triples' raw
-sightings, and they replace the old chains as a whole.  ``ChainStore`` keeps raw sightings and chains in the shared
-folder, in hash buckets, and replaces the buckets' chains atomically by renaming a manifest.
+A *chain* is the ordered list of periods of one triple of one graph.  ``build_chains`` and ``history`` make all chains
+in one pass.  ``ChainStore`` keeps raw sightings and chains in the shared folder, in hash buckets: late or corrected
+sightings rebuild only the chains they affect, from those triples' raw sightings, and the buckets' chains are replaced
+atomically by renaming a manifest.  ``corrected`` loads the sightings in time into a store and the late ones on top.
 
 Defined cases: rows with a NULL graph, version, subject, predicate or object show nothing.  Repeated rows count once.
 A graph without log rows has no complete snapshot, so its periods never end.  ``"x"^^xsd:string`` and ``"x"`` are one
@@ -79,10 +79,8 @@ def rebuild_affected(both: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def history(rows: DataFrame, log: DataFrame) -> DataFrame:
-    """Chains of all rows: those in time make the chains, the late ones are a correction of the chains they touch.
-
-    One scan and one shuffle: both kinds of sightings of a triple are gathered by one aggregate, combined map-side.
-    """
+    """Chains of all rows in one pass: both kinds of sightings of a triple are gathered by one aggregate, and late ones
+    only choose the branch; no earlier chains are kept or replaced (see ``corrected``)."""
     marked = with_late(rows.select("graph_name", "version", "s", "p", "o", "loaded_at"), log)
     shown = marked.select("graph_name", "s", "p", plain_string(F.col("o")).alias("o"), F.col("version").cast("int").alias("version"), "late").dropna()
     of = lambda late: F.array_sort(F.collect_set(F.when(F.col("late") == late, F.col("version"))))
@@ -179,3 +177,12 @@ class ChainStore:
     def read(self) -> DataFrame | None:
         state = self._manifest()
         return self._read("chains", state) if state else None
+
+
+def corrected(store: ChainStore, rows: DataFrame, log: DataFrame) -> DataFrame:
+    """Chains of all rows from ``store``: those in time are loaded, then the late ones correct the chains they affect."""
+    marked = with_late(rows.select("graph_name", "version", "s", "p", "o", "loaded_at"), log)
+    store.apply(marked.where("NOT late"), log)
+    store.apply(marked.where("late"), log)
+    read = store.read()
+    return store.spark.createDataFrame([], STORED["chains"]) if read is None else read

@@ -22,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # -- 1
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return history.history(table(spark, d, "graph_snapshots"), table(spark, d, "snapshot_log")).select("s", "p", "o", "valid_from", "valid_to")
+    store = history.ChainStore(spark, new_path(spark, "history"))
+    return history.corrected(store, table(spark, d, "graph_snapshots"), table(spark, d, "snapshot_log")).select("s", "p", "o", "valid_from", "valid_to")
 
 
 def p1_current(spark: SparkSession, d: str) -> DataFrame:
