@@ -1,5 +1,6 @@
 import datetime
-from decimal import Decimal
+import random
+from decimal import ROUND_HALF_UP, Decimal, localcontext
 
 from conftest import rows
 from pyspark.sql import functions as F
@@ -56,3 +57,34 @@ def test_blocks_join_without_further_shuffles(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], "s string, p string, o string")
     assert pivot_blocks(empty, empty.select("s"), ATTRIBUTES).count() == 0
+
+
+def exact(text):
+    """Rounded half up to two places, by Python's decimals."""
+    with localcontext() as c:
+        c.prec, c.Emin, c.Emax = 2000, -10**9, 10**9
+        made = Decimal(text).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP)
+        return f"{made if made else abs(made):f}"
+
+
+def test_decimals_are_exact_at_any_size(spark):
+    r = random.Random(0)
+    texts = ["1e28", "-1e28", "12345678901234567890123456789.125", "1" + "0" * 400, "9" * 40 + ".995", "-" + "9" * 40 + ".995", "1.00499999999999", "-1.00499999999999", "0.00499999999999999", "0.995", "-0.001", "-0.005", "0e999", "1e-400", "5e-3", "4e-3", "1e308", "0.5e-2", "99.999e0", "1E-99999999999999999999", "0e99999999999999999999", "00012.5e1"]
+    texts += ["".join([r.choice(["", "-", "+"]), *r.choices("0159", k=r.randint(1, 40)), *(["."] + r.choices("0459", k=r.randint(1, 14)) if r.random() < 0.7 else []), f"e{r.randint(-45, 45)}" if r.random() < 0.5 else ""]) for _ in range(300)]
+    want = [exact(t) if len(t) < 22 or "e" not in t.lower() or abs(int(t.lower().split("e")[1])) < 10**9 else "0.00" for t in texts]
+    assert values(spark, "decimal", *[f'"{t}"' for t in texts]) == want
+    assert values(spark, "decimal", '"1e309"', '"1e99999999999999999999"', '"1e9223372036854775807"') == [None] * 3
+
+
+def test_decimals_are_ordered_by_value(spark):
+    groups = [["1e30", "9e29", "1e31"], ["-1e30", "5", "-1e29"], ["1.00499999999999", "1.005"], ["-2", "-10", "-1.5"], ["0.1", "-0.001", "100"]]
+    data = [(f"<x{i}>", "<h>", f'"{t}"') for i, g in enumerate(groups) for t in g]
+    df = spark.createDataFrame(data, "s string, p string, o string")
+    made = pivot_blocks(df, df.select("s"), [Attribute("<h>", "height", "decimal")], typed=False)
+    assert rows(made) == [(f"<x{i}>", exact(min(g, key=Decimal))) for i, g in enumerate(groups)]
+
+
+def test_wide_table_keeps_what_its_types_cannot_hold(spark):
+    df = spark.createDataFrame([("<x>", "<a>", "9" * 39), ("<x>", "<h>", "1e40"), ("<y>", "<a>", "7"), ("<y>", "<n1>", '"n"')], "s string, p string, o string")
+    made = pivot_blocks(df, df.select("s"), ATTRIBUTES, beyond="beyond_types").select("s", "age", "height", "name", "beyond_types")
+    assert rows(made) == [("<x>", None, None, None, {"age": "9" * 39, "height": "1" + "0" * 40 + ".00"}), ("<y>", Decimal(7), None, "n", {})]

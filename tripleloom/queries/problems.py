@@ -97,7 +97,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_wide(spark: SparkSession, d: str) -> DataFrame:
-    return widen.pivot_blocks(table(spark, d, "triples").select("s", "p", "o"), people(spark, d), people_columns(spark, d), block=5)
+    return widen.pivot_blocks(table(spark, d, "triples").select("s", "p", "o"), people(spark, d), people_columns(spark, d), block=5, beyond="beyond_types")
 
 
 P3_SQL = rf"""
