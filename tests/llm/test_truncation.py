@@ -90,3 +90,21 @@ def test_very_long_text():
     text = "function f() {\n  return 1;\n}\n" * 40_000
     assert T.describe(text, "javascript", None, False, frozenset())
     assert T.describe("x" * 1_000_000, None, None, False, frozenset())
+
+
+def test_known_pieces_are_those_of_all_intact_texts(spark):
+    """Pieces outside the sample and beyond 20,000 are known, and end texts as known ones."""
+    name = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:05d}")
+    many = " ".join(name(i) for i in range(25_000)) + "\n"
+    rows = [(i, f"{many if i < 3 else 'zeta omega word '}rare\n" + "x" * i + "\n", None, "s", 0, None, None, None) for i in range(60)]
+    marked = T.with_limits(docs := spark.createDataFrame(rows, SCHEMA), T.limits(docs))
+    pieces = {r.piece for r in T.known_pieces(marked).collect()}
+    assert {name(i) for i in range(25_000)} | {"zeta", "rare"} <= pieces
+    made = T.train(marked, 10_000)
+    assert made is not None and made.known <= pieces
+    ends = [f"a {name(24_999)}", "a nowhere", "a fooRare", "a ", "RARE\n"]
+    model = T.Model(np.arange(T.FEATURES, dtype=float), frozenset())  # other features, other odds
+    ended = spark.createDataFrame([(i, t, "c", "s", 0, None, None, None) for i, t in enumerate(ends)], SCHEMA)
+    odds = {r.doc_id: r.odds for r in T.score(T.with_limits(ended, T.limits(ended)), model, T.known_pieces(marked)).collect()}
+    for i, text in enumerate(ends):
+        assert odds[i] == model.weights[T._hash(T.describe(text, "c", None, False, frozenset(pieces)))].sum()

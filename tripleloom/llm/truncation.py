@@ -5,7 +5,7 @@
 2. Training: from a bounded sample of texts that look intact (``SAMPLE_DOCUMENTS``, documented bound) positives are
    made by cutting at random bytes, and by cutting with the mark of a length limit; negatives are the texts themselves
    with and without their final newline.  Features are hashed: closing characters, shape of the last line, last word
-   piece and whether the corpus knows it, open brackets, quotes and comments of the whole text, length against the limit.
+   piece and whether the intact texts of the whole corpus know it (counted over all of them, without a cap), open brackets, quotes and comments of the whole text, length against the limit.
 3. Every record is scored over its whole text.  How often a source truncates shifts its records' odds: the shares are
    estimated by expectation maximisation over a histogram of scores by source.  At a limit the odds are shifted by how many
    times more texts have that length than lengths around it.
@@ -33,8 +33,8 @@ from ..runtime import broadcast_if_small, spread, stored
 
 #: Intact texts that the classifier may be trained on, and the least number it can be trained on.
 SAMPLE_DOCUMENTS, LEAST_SAMPLE = 6_000, 50
-#: Word pieces of the sample that count as known.
-KNOWN_PIECES = 20_000
+#: A word piece is known if at least so many intact texts have it.
+KNOWN_TEXTS = 3
 FEATURES = 1 << 15
 #: Shares of examples in training: cut texts, and intact texts without a final newline.
 CUT_SHARE, BARE_SHARE = 0.04, 0.13
@@ -139,7 +139,7 @@ class Model:
     known: frozenset[str]
 
 
-def _examples(known: frozenset[str]):
+def _examples():
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
@@ -149,7 +149,7 @@ def _examples(known: frozenset[str]):
 
                 def add(t: str, limit: bool, label: int, weight: float) -> None:
                     if t:
-                        rows.append((doc % 10, _hash(describe(t, lang, path, limit, known)), label, weight))  # noqa: B023
+                        rows.append((doc % 10, t, lang, path, limit, label, weight, last_piece(t)))  # noqa: B023
 
                 bare = text[:-1]
                 add(text, False, 0, 1 - BARE_SHARE)
@@ -167,7 +167,16 @@ def _examples(known: frozenset[str]):
                         n = int(rng.integers(len(text) // 4, len(text) - 8))
                         mark = ("", "", "...", " [more]", "…")[rng.integers(5)]
                         add(text[: n - len(mark)] + mark, True, 1, CUT_SHARE / 2)
-            yield pd.DataFrame(rows, columns=["fold", "features", "label", "weight"])
+            yield pd.DataFrame(rows, columns=["fold", "shown", "lang", "path", "at_limit", "label", "weight", "word"])
+
+    return run
+
+
+def _described(known: frozenset[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            features = [_hash(describe(t, lang, path, limit, known)) for t, lang, path, limit in zip(b["shown"], b["lang"], b["path"], b["at_limit"])]
+            yield b[["fold", "label", "weight"]].assign(features=features)[["fold", "features", "label", "weight"]]
 
     return run
 
@@ -188,44 +197,68 @@ def fit(features: list[np.ndarray], label: np.ndarray, weight: np.ndarray, steps
     return w
 
 
+def intact_texts(marked: DataFrame) -> DataFrame:
+    """Texts that look intact: they end with a newline and are not at a limit."""
+    return marked.where(~F.col("at_limit") & F.endswith("text", F.lit("\n")) & (F.length("text") > 20))
+
+
 def intact_sample(marked: DataFrame, most: int = SAMPLE_DOCUMENTS) -> DataFrame:
-    """At most about ``most`` texts that look intact: they end with a newline and are not at a limit."""
-    intact = marked.where(~F.col("at_limit") & F.endswith("text", F.lit("\n")) & (F.length("text") > 20))
+    """At most about ``most`` of the texts that look intact."""
+    intact = intact_texts(marked)
     there = intact.count()
     if there > most:
         intact = intact.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * most / there))
     return intact
 
 
-def train(marked: DataFrame, most: int = SAMPLE_DOCUMENTS) -> Model | None:
+def known_pieces(marked: DataFrame) -> DataFrame:
+    """(piece): the word pieces that at least ``KNOWN_TEXTS`` of all intact texts have; one aggregate, combined map-side."""
+    pieces = intact_texts(marked).select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Z]?[a-z]+|[A-Z]+)(?![a-z])"), 1))).alias("piece"))
+    counted = pieces.groupBy(F.lower("piece").alias("piece")).agg(F.count("*").alias("n"))
+    return stored(counted.where(F.col("n") >= KNOWN_TEXTS).select("piece"), "pieces")
+
+
+def last_piece(text: str) -> str:
+    piece = _PIECE.search(text)
+    return piece[0].lower() if piece else ""
+
+
+def train(marked: DataFrame, most: int = SAMPLE_DOCUMENTS, pieces: DataFrame | None = None) -> Model | None:
+    """Only those of the known ``pieces`` that end an example reach the driver: a few for each text of the sample."""
+    pieces = known_pieces(marked) if pieces is None else pieces
     sample = stored(intact_sample(marked, most).select("doc_id", "text", "lang", "path"), "sample")
-    pieces = sample.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Z]?[a-z]+|[A-Z]+)(?![a-z])"), 1))).alias("piece"))
-    counted = pieces.groupBy(F.lower("piece").alias("piece")).agg(F.count("*").alias("n")).where("n > 2")
-    known = frozenset(r.piece for r in counted.orderBy(F.desc("n"), "piece").limit(KNOWN_PIECES).collect())
-    made = spread(sample).mapInPandas(_examples(known), "fold bigint, features array<int>, label int, weight double").toPandas()
-    if len(made) < 5 * LEAST_SAMPLE:
+    made = stored(spread(sample).mapInPandas(_examples(), "fold bigint, shown string, lang string, path string, at_limit boolean, label int, weight double, word string"), "examples")
+    known = frozenset(r.piece for r in pieces.join(made.select(F.col("word").alias("piece")).distinct(), "piece", "left_semi").collect())
+    described = made.mapInPandas(_described(known), "fold bigint, features array<int>, label int, weight double").toPandas()
+    if len(described) < 5 * LEAST_SAMPLE:
         return None
-    return Model(fit([np.asarray(f, np.int32) for f in made["features"]], made["label"].to_numpy(float), made["weight"].to_numpy()), known)
+    return Model(fit([np.asarray(f, np.int32) for f in described["features"]], described["label"].to_numpy(float), described["weight"].to_numpy()), known)
 
 
 # -- scoring -----------------------------------------------------------------------------------------------------
 
 
-def score(marked: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, source, ratio, mark, size, odds) of every non-empty document; log-odds at the training share."""
+def score(marked: DataFrame, model: Model | None, pieces: DataFrame) -> DataFrame:
+    """(doc_id, source, ratio, mark, size, odds) of every non-empty document; log-odds at the training share.
+
+    A text's last word piece is looked up by a join with all known ``pieces``.
+    """
     if model is None:
         opens = F.size(F.regexp_extract_all("text", F.lit(r"([{(\[])"), 1)) > F.size(F.regexp_extract_all("text", F.lit(r"([})\]])"), 1))
         odds = F.when(F.col("at_limit") | (opens & ~F.endswith("text", F.lit("\n"))), 4.0).otherwise(-4.0)
         return marked.select("doc_id", "source", "ratio", F.xxhash64("text").alias("mark"), F.length("text").alias("size"), odds.alias("odds"))
-    sent = marked.sparkSession.sparkContext.broadcast(model)  # FEATURES doubles and at most KNOWN_PIECES words
+    sent = marked.sparkSession.sparkContext.broadcast(model.weights)  # FEATURES doubles
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, known = sent.value.weights, sent.value.known
+        w = sent.value
         for b in batches:
-            odds = [float(w[_hash(describe(t, lang, path, limit, known))].sum()) for t, lang, path, limit in zip(b["text"], b["lang"], b["path"], b["at_limit"])]
+            known = [frozenset((last_piece(t),)) if k else frozenset() for t, k in zip(b["text"], b["known"])]
+            odds = [float(w[_hash(describe(t, lang, path, limit, k))].sum()) for t, lang, path, limit, k in zip(b["text"], b["lang"], b["path"], b["at_limit"], known)]
             yield b[["doc_id", "source", "ratio", "mark", "size"]].assign(odds=odds)
 
-    rows = marked.select("doc_id", "source", "ratio", "at_limit", F.xxhash64("text").alias("mark"), F.length("text").alias("size"), "text", "lang", "path")
+    word = F.when(F.right("text", F.lit(1)).rlike("[A-Za-z]"), F.lower(F.regexp_extract("text", _PIECE.pattern.replace("(?:", "(").replace(r"\Z", r"\z"), 1)))
+    rows = marked.select("doc_id", "source", "ratio", "at_limit", F.xxhash64("text").alias("mark"), F.length("text").alias("size"), "text", "lang", "path", word.alias("piece"))
+    rows = rows.join(broadcast_if_small(pieces.withColumn("known", F.lit(True))), "piece", "left").withColumn("known", F.coalesce("known", F.lit(False))).drop("piece")
     return rows.mapInPandas(run, "doc_id bigint, source string, ratio double, mark bigint, size int, odds double")
 
 
@@ -253,7 +286,8 @@ def judged(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
     At a limit the prior odds are the limit's ratio: so many texts were cut for one that has the length by chance.
     """
     marked = with_limits(documents, stored(limits(documents), "limits"))
-    scored = stored(score(marked, train(marked, sample)), "scored")
+    pieces = known_pieces(marked)
+    scored = stored(score(marked, train(marked, sample, pieces), pieces), "scored")
     shifted = scored.join(broadcast_if_small(source_shifts(scored)), "source", "left")
     shift = F.when(F.col("ratio").isNotNull(), F.log(F.col("ratio")) - F.lit(float(np.log(CUT_SHARE / LIMIT_BY_CHANCE)))).otherwise(F.coalesce("shift", F.lit(0.0)))
     rows = shifted.select("doc_id", "source", F.col("ratio").isNotNull().alias("at_limit"), "mark", "size", (F.col("odds") + shift).alias("odds"))
