@@ -4,7 +4,9 @@ from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tripleloom.sources.lines import index_lines, judge, rejects, valid_triples, valid_typed
+from line_scanner import judge
+
+from tripleloom.sources.lines import REASONS, index_lines, judge_batch, rejects, valid_triples, valid_typed
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
 CASES = [
@@ -19,10 +21,28 @@ CASES = [
 ]
 
 
+def by_index(lines, name="x.nt", prefixes=None):
+    """(reason, triple) of each line, as the index has it."""
+    codes, rows_, keys = judge_batch(pa.array(lines, pa.string()), pa.array([name] * len(lines), pa.string()), [prefixes or {}] * len(lines))
+    found = dict(zip(rows_.tolist(), zip(*keys)))
+    return [(REASONS[c] or None, found.get(i)) for i, c in enumerate(codes)]
+
+
 @pytest.mark.parametrize("line,reason", CASES)
 def test_reasons(line, reason):
     got, triple = judge(line, "x.nt")
     assert got == reason and (triple is None) == (reason is not None)
+    assert by_index([line]) == [(got, triple)]
+
+
+def test_index_and_scanner_agree_on_all_cases_at_once():
+    lines = [line for line, _ in CASES] + ["", None, "# x", "@prefix p: <http://x/> .", "  \t\r"]
+    assert by_index(lines) == [judge(line, "x.nt") for line in lines]
+    assert by_index(lines, "x.rdf") == [judge(line, "x.rdf") for line in lines] and by_index(lines, None) == [judge(line, None) for line in lines]
+    assert by_index([], "x.nt") == []
+    names = {"p": "http://p/", "": "http://e/"}
+    odd = ['p:a\\,b :c "x" .', "<< p:s p:p << :a :b :c >> >> a p:T .", "p:s a q:T .", 'p:s p:p "\\u0041\\n"@en .']
+    assert by_index(odd, prefixes=names) == [judge(line, "x.nt", names) for line in odd]
 
 
 def test_lines_that_are_neither():
@@ -42,7 +62,14 @@ def test_typed():
     assert valid_typed("anything", XSD + "dateTime")
 
 
-PARTS = ["<a>", "<b>", "p:x", "_:l", '"s"', '"', "\\", "<", ">", "<<", ">>", ".", " ", "\t", "#", "@en", "^^", "a", "5", "é", "\r", f'"5"^^<{XSD}integer>', ' "x" ', " . ", "<a> <b> <c> ."]
+PARTS = ["<a>", "<b>", "p:x", "_:l", '"s"', '"', "\\", "<", ">", "<<", ">>", ".", " ", "\t", "#", "@en", "^^", "a", "5", "é", "\r", "\\u00e9", "^^<", "@", ":", "_:", "²", "e5", "-", "%41", f'"5"^^<{XSD}integer>', ' "x" ', " . ", "<a> <b> <c> ."]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=14).map("".join), min_size=1, max_size=25))
+def test_index_is_the_scanner(lines):
+    """Every reason, and every valid triple, is that of the plain scanner."""
+    assert by_index(lines, prefixes={"p": "http://p/"}) == [judge(line, "x.nt", {"p": "http://p/"}) for line in lines]
 
 
 @settings(max_examples=300, deadline=None)
@@ -78,4 +105,15 @@ def test_tables(spark):
 def test_very_long_lines():
     long = "<a> <b> \"" + "x" * 300_000 + "\" ."
     assert len(index_lines(pa.array([long, "<a> <b> <c> ."]))[0]) == 2
-    assert judge(long[:-3], "x.nt")[0] == "quoting"
+    assert by_index([long[:-3], long, "<a> " * 50_000 + ".", "<<" * 40_000 + ">>" * 40_000]) == [("quoting", None), judge(long, "x.nt"), ("columns", None), ("columns", None)]
+
+
+def test_index_is_the_scanner_on_the_tables():
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.01/file_lines.parquet")
+    lines, names = table["line"].to_pylist(), table["filename"].to_pylist()
+    codes, rows_, keys = judge_batch(pa.array(lines, pa.string()), pa.array(names, pa.string()), [{}] * len(lines))
+    found = dict(zip(rows_.tolist(), zip(*keys)))
+    assert [(REASONS[c] or None, found.get(i)) for i, c in enumerate(codes)] == [judge(line, name) for line, name in zip(lines, names)]
+    assert len(set(codes.tolist())) == 5

@@ -2,9 +2,11 @@ r"""Lines of N-Triples-star files (in ``.ttl`` files with prefixed names): valid
 
 Structural indexing: over the bytes of a whole Arrow batch, numpy finds quotes that no backslash escapes, the prefix
 parity of the quotes says what lies inside strings, bracket depth what lies inside IRIs, and from both come comment
-starts, token bounds and statement ends.  Counts and type checks of the indexed tokens accept lines.  Lines that the
-index does not accept (a few percent: damaged ones and quoted triples) are looked at by an exact scanner, which names
-the reason or accepts them.
+starts, token bounds and statement ends.  Counts and type checks of these tokens accept most lines.  Of the others (a few
+percent: damaged lines, quoted triples, quotes inside IRIs) the index is refined: for every byte the next delimiters give
+the token that would begin there and the token behind it, and jumping along these by doubling marks the true tokens of
+all lines at once.  Open brackets and quotes give ``quoting``, the depth of quoted triples and counts of terms
+``columns``, type checks of the tokens ``value``, and what passes all is valid.
 
 Reasons, the first that applies: ``file``, ``quoting``, ``columns``, ``value``.  Blank lines, comments and prefix lines
 are neither valid nor failing.  Defined cases: a NULL line is blank; a NULL file name fails with ``file``; an empty
@@ -33,13 +35,12 @@ IRI_BODY = r"(?:[^\x00-\x20<>\"{}|^`\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*"
 ESCAPES = r"(?:[^\\]|\\[tbnrf\"'\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*"
 TAG = r"@[A-Za-z]+(?:-[A-Za-z0-9]+)*"
 NUMBER = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?[eE][+-]?[0-9]+|\.[0-9]+[eE][+-]?[0-9]+|[0-9]*\.[0-9]+|[0-9]+)"
-LABEL = r"_:\w(?:[\w.\-·]*[\w\-·])?"
-NAME = r"(?:[^\W\d_](?:[\w.\-·]*[\w\-·])?)?:(?:(?:[\w:]|%[0-9A-Fa-f]{2}|\\[_~.!$&'()*+,;=/?#@%-])(?:(?:[\w:.\-·]|%[0-9A-Fa-f]{2}|\\[_~.!$&'()*+,;=/?#@%-])*(?:[\w:\-·]|%[0-9A-Fa-f]{2}|\\[_~.!$&'()*+,;=/?#@%-]))?)?"
+LABEL = r"_:[\p{L}\p{N}_](?:[\p{L}\p{N}_.\-·]*[\p{L}\p{N}_\-·])?"
+NAME = r"(?:[\p{L}\p{Nl}\p{No}](?:[\p{L}\p{N}_.\-·]*[\p{L}\p{N}_\-·])?)?:(?:(?:[\p{L}\p{N}_:]|%[0-9A-Fa-f]{2}|\\[_~.!$&'()*+,;=/?#@%-])(?:(?:[\p{L}\p{N}_:.\-·]|%[0-9A-Fa-f]{2}|\\[_~.!$&'()*+,;=/?#@%-])*(?:[\p{L}\p{N}_:\-·]|%[0-9A-Fa-f]{2}|\\[_~.!$&'()*+,;=/?#@%-]))?)?"
 PREFIX_LINE = r"^[ \t\r]*@?[Pp][Rr][Ee][Ff][Ii][Xx][ \t]+([^ \t:<>]*):[ \t]*<([^<>\" ]*)>[ \t\r]*\.?[ \t\r]*(?:#.*)?$"
 BASE_LINE = r"^[ \t\r]*@?[Bb][Aa][Ss][Ee][ \t]+<[^<>\" ]*>[ \t\r]*\.?[ \t\r]*(?:#.*)?$"
 
-_IRI, _ESCAPES, _TAG, _NUMBER, _LABEL, _NAME = (re.compile(x, re.S) for x in (IRI_BODY, ESCAPES, TAG, NUMBER, LABEL, NAME))
-_DIRECTIVE = re.compile(f"{PREFIX_LINE}|{BASE_LINE}")
+DIRECTIVE = f"(?:{PREFIX_LINE})|(?:{BASE_LINE})"
 _PLAIN = f"^^<{XSD}string>"
 _ZONE = r"(?:Z|[+-](?:0[0-9]|1[0-3]):[0-5][0-9]|[+-]14:00)?"
 _FORMS = {
@@ -67,145 +68,6 @@ def valid_typed(text: str, datatype: str) -> bool:
     return True
 
 
-class _Bad(Exception):
-    pass
-
-
-def _scan(line: str) -> list[tuple]:
-    """Tokens of a line up to its comment: ('iri', body), ('string', body, tag, datatype), ('word', text), '<<', '>>', '.'."""
-    tokens, i, n, depth = [], 0, len(line), 0
-    while i < n:
-        c = line[i]
-        if c in SPACE:
-            i += 1
-        elif c == "#":
-            break
-        elif line.startswith("<<", i):
-            tokens.append(("<<",))
-            depth, i = depth + 1, i + 2
-        elif line.startswith(">>", i) and depth:
-            tokens.append((">>",))
-            depth, i = depth - 1, i + 2
-        elif c == ">":
-            raise _Bad("quoting")
-        elif c == "<":
-            body, i = _iri_end(line, i)
-            tokens.append(("iri", body))
-        elif c == '"':
-            j = i + 1
-            while j < n and line[j] != '"':
-                j += 2 if line[j] == "\\" else 1
-            if j >= n:
-                raise _Bad("quoting")
-            body, j, tag, datatype = line[i + 1 : j], j + 1, None, None
-            if line.startswith("^^<", j) and not line.startswith("^^<<", j):
-                datatype, j = _iri_end(line, j + 2)
-            elif j < n and line[j] == "@":
-                k = j
-                while k < n and line[k] not in SPACE + '<>"#':
-                    k += 1
-                tag = line[j:k]
-                if tag.endswith("."):
-                    tag, k = tag[:-1], k - 1
-                j = k
-            elif j < n and line[j] not in SPACE + ".#" and not (depth and line.startswith(">>", j)):
-                raise _Bad("quoting")
-            tokens.append(("string", body, tag, datatype))
-            i = j
-        else:
-            j = i
-            while j < n and line[j] not in SPACE + '<>"#':
-                j += 1
-            word = line[i:j]
-            dots = len(word) - len(word.rstrip(".")) if word.endswith(".") else 0
-            if len(word) > dots:
-                tokens.append(("word", word[: len(word) - dots]))
-            tokens += [(".",)] * dots
-            i = j
-    if depth:
-        raise _Bad("quoting")
-    return tokens
-
-
-def _iri_end(line: str, i: int) -> tuple[str, int]:
-    j = i + 1
-    while j < len(line) and line[j] not in "<>":
-        j += 1
-    if j == len(line) or line[j] == "<":
-        raise _Bad("quoting")
-    return line[i + 1 : j], j + 1
-
-
-def _group(tokens: list[tuple]) -> list:
-    """Three terms, quoted triples as nested lists; raises ``columns``."""
-    stack: list[list] = [[]]
-    for at, t in enumerate(tokens):
-        if t[0] == "<<":
-            stack.append([])
-        elif t[0] == ">>":
-            done = stack.pop()
-            if len(done) != 3:
-                raise _Bad("columns")
-            stack[-1].append(done)
-        elif t[0] == ".":
-            if len(stack) > 1 or len(stack[0]) != 3 or at != len(tokens) - 1:
-                raise _Bad("columns")
-            return stack[0]
-        else:
-            stack[-1].append(t)
-    raise _Bad("columns")
-
-
-def _term(t, place: int, prefixes: dict[str, str] | None) -> str:
-    """Canonical key of a term at place 0 (subject), 1 or 2; raises ``value``."""
-    if isinstance(t, list):
-        if place == 1:
-            raise _Bad("value")
-        return f"<< {' '.join(_term(x, k, prefixes) for k, x in enumerate(t))} >>"
-    if t[0] == "iri":
-        if not _IRI.fullmatch(t[1]):
-            raise _Bad("value")
-        return f"<{t[1]}>"
-    if t[0] == "string":
-        _, body, tag, datatype = t
-        if place != 2 or not _ESCAPES.fullmatch(body) or tag is not None and not _TAG.fullmatch(tag) or datatype is not None and not (_IRI.fullmatch(datatype) and valid_typed(body, datatype)):
-            raise _Bad("value")
-        return f'"{canonical(body)}"' + (tag or "") + (f"^^<{datatype}>" if datatype is not None and datatype != XSD + "string" else "")
-    word = t[1]
-    if word == "a" and place == 1:
-        return RDF_TYPE
-    if _NUMBER.fullmatch(word):
-        if place != 2:
-            raise _Bad("value")
-        return word
-    if word.startswith("_:"):
-        if place == 1 or not _LABEL.fullmatch(word):
-            raise _Bad("value")
-        return word
-    if not _NAME.fullmatch(word):
-        raise _Bad("value")
-    prefix, _, local = word.partition(":")
-    if prefixes is None or prefix not in prefixes:
-        return word
-    return f"<{prefixes[prefix]}{re.sub(r'\\(.)', r'\1', local)}>"
-
-
-def judge(line: str | None, filename: str | None, prefixes: dict[str, str] | None = None) -> tuple[str | None, tuple[str, str, str] | None]:
-    """(reason, None) of a failing line, (None, triple) of a valid one, (None, None) of one that is neither."""
-    bare = (line or "").strip(SPACE)
-    if not bare or bare[0] == "#":
-        return None, None
-    if filename is None or not filename.endswith(("ttl", "nt")):
-        return "file", None
-    if _DIRECTIVE.match(line):
-        return None, None
-    try:
-        terms = _group(_scan(line))
-        return None, tuple(_term(t, k, prefixes) for k, t in enumerate(terms))
-    except _Bad as bad:
-        return str(bad), None
-
-
 # -- structural index -------------------------------------------------------------------------------------------
 
 
@@ -244,7 +106,6 @@ class StructuralIndex:
         iri = (depth > 0) | ((b == 62) & ~text)
         mark = (b == 35) & ~text & ~iri
         live = run(mark) == 0
-        self.even = np.ones(count, bool)
         gap = ((b == 32) | (b == 9) | (b == 13)) & ~text & ~iri | ~live
         word = ~gap
         start = word.copy()
@@ -254,13 +115,10 @@ class StructuralIndex:
         self.starts, self.ends = np.flatnonzero(start), np.flatnonzero(end) + 1
         self.token_line = line[self.starts] if size else self.starts
         self.tokens = np.bincount(self.token_line, minlength=count)
-        last = np.maximum(at[1:] - 1, 0)
-        full = np.diff(at) > 0
         totals = np.concatenate([[0], np.cumsum(quote & live)])
         self.even = (totals[at[1:]] - totals[at[:-1]]) % 2 == 0
         balance = np.concatenate([[0], np.cumsum(np.where(live & ~text, (b == 60).astype(np.int64) - (b == 62), 0))])
         self.balanced = balance[at[1:]] == balance[at[:-1]]
-        self.full, self.last = full, last
 
     def plain(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Lines of three tokens and a dot with closed quotes and brackets; starts and ends of their tokens (n x 3)."""
@@ -281,13 +139,6 @@ class StructuralIndex:
         keep = ends[:, 2] > starts[:, 2]
         return rows[keep], starts[keep], ends[keep]
 
-    def cut(self, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-        """The byte ranges as strings, copied once."""
-        length = ends - starts
-        offsets = np.concatenate([[0], np.cumsum(length)])
-        take = np.repeat(starts - offsets[:-1], length) + np.arange(offsets[-1])
-        return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(self.bytes[take])])
-
 
 _R_IRI = r'<[^\x00-\x20<>"{}|^`\\]*>'
 _R_NAME = r"[A-Za-z][A-Za-z0-9]*:[A-Za-z0-9_]+"
@@ -301,7 +152,7 @@ def index_lines(lines: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
     """Rows that the structural index accepts, and their three terms as they stand in the lines."""
     found = StructuralIndex(lines)
     rows, starts, ends = found.plain()
-    s, p, o = (found.cut(starts[:, k], ends[:, k]) for k in range(3))
+    s, p, o = (_cut(found.bytes, starts[:, k], ends[:, k]) for k in range(3))
 
     def matches(a: pa.Array, pattern: str) -> np.ndarray:
         return pc.match_substring_regex(a, pattern).to_numpy(zero_copy_only=False)
@@ -318,7 +169,190 @@ def index_lines(lines: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
     return rows[ok], [a.take(keep) for a in (s, p, o)]
 
 
-def _expand(terms: pa.Array, file: np.ndarray, maps: list[dict]) -> list[str]:
+OPEN, CLOSE, TERM_IRI, TERM_STRING, TERM_WORD, DOT, NOTE, BROKEN = range(8)
+REASONS = np.array(["", "file", "quoting", "columns", "value"], object)
+FILE, QUOTING, COLUMNS, VALUE = 1, 2, 3, 4
+
+
+def _next(mask: np.ndarray) -> np.ndarray:
+    """For each place (and the one behind the last) the first place from there on where ``mask`` holds; else the size."""
+    size = len(mask)
+    at = np.where(mask, np.arange(size), size)
+    return np.append(np.minimum.accumulate(at[::-1])[::-1], size) if size else np.zeros(1, np.int64)
+
+
+class TokenChains:
+    """The tokens of lines of any form, and the first reason why a line fails.
+
+    ``kind``, ``start``, ``end``, ``line`` describe tokens in order; ``close`` is the place of a string's closing quote.
+    ``fails`` has a code of ``REASONS`` for each line.  ``place`` (0, 1, 2) is a term's place in its triple, ``top`` the
+    place in the statement, both -1 where it does not apply.
+    """
+
+    def __init__(self, lines: pa.Array):
+        b, at = _line_starts(lines)
+        size, count = len(b), len(at) - 1
+        self.fails = np.zeros(count, np.int8)
+        self._tokens(b, at, size, count)
+        self._nest(count)
+        self._check(b)
+
+    def _tokens(self, b: np.ndarray, at: np.ndarray, size: int, count: int) -> None:
+        place = np.arange(size)
+        row = np.repeat(np.arange(count), np.diff(at))
+        stop = at[1:][row] if size else place
+        ahead = np.append(b, np.zeros(5, np.uint8))
+
+        def byte(where: np.ndarray) -> np.ndarray:
+            """The byte at each place; 0 beyond the line's end."""
+            return np.where(where < stop, ahead[np.minimum(where, size)], 0)
+
+        blank = (b == 32) | (b == 9) | (b == 13)
+        last_other = np.maximum.accumulate(np.where(b == 92, at[:-1][row] - 1 if size else place, place)) if size else place
+        behind = np.concatenate([[0], (place - last_other)[:-1]]) if size else place
+        behind[at[:-1][at[:-1] < size]] = 0
+        closer, bracket, edge, solid = _next((b == 34) & (behind % 2 == 0)), _next((b == 60) | (b == 62)), _next(blank | (b == 60) | (b == 62) | (b == 34) | (b == 35)), _next(~blank)
+        one = byte(place + 1)
+        kind = np.full(size, TERM_WORD, np.int8)
+        end = np.minimum(edge[:-1], stop) if size else place
+        # IRIs, quoted triples
+        shut = bracket[np.minimum(place + 1, size)]
+        iri = (b == 60) & (one != 60)
+        kind[iri] = np.where((shut < stop) & (byte(shut) == 62), TERM_IRI, BROKEN)[iri]
+        end = np.where(iri, shut + 1, end)
+        double = ((b == 60) & (one == 60)) | ((b == 62) & (one == 62))
+        kind[double] = np.where(b[double] == 60, OPEN, CLOSE)
+        end = np.where(double, place + 2, end)
+        kind[(b == 62) & (one != 62)] = BROKEN
+        kind[b == 35] = NOTE
+        # strings and what follows the closing quote
+        close = closer[np.minimum(place + 1, size)]
+        after = close + 1
+        x0, x1, x2, x3 = (byte(after + k) for k in range(4))
+        typed = (x0 == 94) & (x1 == 94) & (x2 == 60) & (x3 != 60)
+        typed_shut = bracket[np.minimum(after + 3, size)]
+        tagged = x0 == 64
+        tag_end = np.minimum(edge[np.minimum(after, size)], stop)
+        tag_end -= byte(tag_end - 1) == 46
+        alone = (x0 == 32) | (x0 == 9) | (x0 == 13) | (x0 == 46) | (x0 == 35) | ((x0 == 62) & (x1 == 62))
+        sound = (close < stop) & np.where(typed, (typed_shut < stop) & (byte(typed_shut) == 62), tagged | alone | (after >= stop))
+        string = b == 34
+        kind[string] = np.where(sound, TERM_STRING, BROKEN)[string]
+        end = np.where(string, np.where(typed, typed_shut + 1, np.where(tagged, tag_end, after)), end)
+        # where the next token begins; `size` where a line's chain ends
+        after = solid[np.minimum(end, size)]
+        after = np.append(np.where((after < stop) & (kind != NOTE) & (kind != BROKEN), after, size), size)
+        first = solid[at[:-1]]
+        reached = np.zeros(size + 1, bool)
+        reached[first[first < at[1:]]] = True
+        while True:  # tokens reached in twice as many steps
+            new = after[np.flatnonzero(reached[:size])]
+            new = new[new < size]
+            if not len(new):
+                break
+            reached[new] = True
+            after = after[after]
+        start = np.flatnonzero(reached[:size])
+        kind, end, close, line = kind[start], end[start], close[start], row[start]
+        self.fails[line[kind == BROKEN]] = QUOTING
+        # the dots at the end of a word are tokens of their own
+        last_letter = np.maximum.accumulate(np.where(b != 46, place, -1)) if size else place
+        word = kind == TERM_WORD
+        stem = np.where(word, np.maximum(last_letter[np.clip(end - 1, 0, size - 1)], start - 1) + 1, end) if size else end
+        dotted = np.flatnonzero(stem < end)
+        keep = np.flatnonzero((kind != NOTE) & (kind != BROKEN) & (stem > start))
+        join = lambda a, d: np.concatenate([a[keep], d])
+        parts = [join(kind, np.full(len(dotted), DOT, np.int8)), join(start, stem[dotted]), join(stem, end[dotted]), join(close, close[dotted]), join(line, line[dotted])]
+        order = np.argsort(parts[1], kind="stable")
+        self.kind, self.start, self.end, self.close, self.line = (p[order] for p in parts)
+
+    def _nest(self, count: int) -> None:
+        """Depths and places; finds what is not balanced or has not three terms and one dot at its end."""
+        kind, line, n = self.kind, self.line, len(self.kind)
+        step = (kind == OPEN).astype(np.int64) - (kind == CLOSE)
+        total = np.concatenate([[0], np.cumsum(step)])
+        head = np.searchsorted(line, np.arange(count))
+        tail = np.searchsorted(line, np.arange(count), "right")
+        depth = total[1:] - total[head][line]
+        self.fails[line[depth < 0]] = QUOTING
+        self.fails[total[tail] != total[head]] = QUOTING
+        # dots
+        dots = np.bincount(line[kind == DOT], (self.end - self.start)[kind == DOT], count)
+        ends = np.zeros(count, bool)
+        some = tail > head
+        ends[some] = (kind[tail[some] - 1] == DOT) & (depth[tail[some] - 1] == 0)
+        short = (dots != 1) | ~ends
+        # groups of terms: each line at level 0, each quoted triple one level below the one it stands in
+        term = (kind != CLOSE) & (kind != DOT)
+        opened = np.flatnonzero(kind == OPEN)
+        child = np.flatnonzero(term)
+        lines = np.concatenate([np.arange(count), line[opened], line[child]])
+        levels = np.concatenate([np.zeros(count, np.int64), depth[opened], depth[child] - (kind[child] == OPEN)])
+        places = np.concatenate([np.full(count, -1), opened, child])
+        begins = np.arange(len(lines)) < count + len(opened)
+        order = np.lexsort((places, np.maximum(levels, 0), lines))
+        begins = begins[order]
+        group = np.cumsum(begins) - 1
+        sizes = np.bincount(group[~begins], minlength=group[-1] + 1 if len(group) else 0)
+        short[lines[order][begins][sizes != 3]] = True
+        self.fails[short & (self.fails == 0)] = COLUMNS
+        self.place, self.top = np.full(n, -1), np.full(n, -1)
+        inner = order[~begins]
+        self.place[places[inner]] = np.flatnonzero(~begins) - np.flatnonzero(begins)[group[~begins]] - 1
+        outer = np.zeros(n, np.int64)
+        outer[child] = (depth[child] - (kind[child] == OPEN)) == 0
+        run = np.concatenate([[0], np.cumsum(outer)])
+        self.top = run[1:] - run[head][line] - 1
+
+    def _check(self, b: np.ndarray) -> None:
+        """Type checks of the terms of lines that no other reason has failed."""
+        live = self.fails[self.line] == 0
+        self.text = [None, None]  # bodies and suffixes of the tokens below
+        at = np.flatnonzero(live & (self.kind != CLOSE) & (self.kind != DOT) & (self.kind != OPEN))
+        bad = np.flatnonzero(live & (self.kind == OPEN) & (self.place == 1))
+        kind, place = self.kind[at], self.place[at]
+        string = kind == TERM_STRING
+        body = _cut(b, self.start[at], np.where(string, self.close[at] + 1, self.end[at]))
+        suffix = _cut(b, np.where(string, self.close[at] + 1, self.end[at]), self.end[at])
+        like = lambda a, pattern: pc.match_substring_regex(a, f"(?s)^(?:{pattern})$").to_numpy(zero_copy_only=False)
+        iri = like(body, f"<{IRI_BODY}>")
+        kind_ok = np.where(kind == TERM_IRI, iri, (place == 2) & like(body, f'"{ESCAPES}"') & like(suffix, rf"|{TAG}|\^\^<{IRI_BODY}>"))
+        number, verb = like(body, NUMBER), like(body, "a") & (place == 1)
+        blank = pc.starts_with(body, "_:").to_numpy(zero_copy_only=False)
+        word_ok = verb | np.where(number, place == 2, np.where(blank, (place != 1) & like(body, LABEL), like(body, NAME)))
+        ok = np.where(kind == TERM_WORD, word_ok, kind_ok)
+        known = np.flatnonzero(ok & string & pc.is_in(suffix, pa.array([f"^^<{d}>" for d in _FORMS], pa.large_string())).to_numpy(zero_copy_only=False))
+        if len(known):
+            both = pc.dictionary_encode(pc.binary_join_element_wise(body.take(pa.array(known)), suffix.take(pa.array(known)), pa.scalar("", pa.large_string())))
+            good = np.array([valid_typed(*x[1:-1].rsplit('"^^<', 1)) for x in both.dictionary.to_pylist()], bool)
+            ok[known] = good[both.indices.to_numpy()]
+        self.fails[self.line[np.concatenate([at[~ok], bad])]] = VALUE
+        self.at, self.body, self.suffix = at, body, suffix
+
+    def triples(self, maps: list[dict]) -> tuple[np.ndarray, list[list[str]]]:
+        """Valid lines and the canonical keys of their three terms; ``maps`` has each line's prefixes."""
+        fine = self.fails == 0
+        keep = np.flatnonzero(fine[self.line[self.at]])
+        at = self.at[keep]
+        whole = pc.binary_join_element_wise(self.body.take(pa.array(keep)), self.suffix.take(pa.array(keep)), pa.scalar("", pa.large_string()))
+        pieces = {int(i): t for i, t in zip(at, _expand(whole, self.line[at], maps))}
+        rows = np.flatnonzero(fine)
+        keys = {(int(r), k): [] for r in rows for k in range(3)}
+        for i in np.flatnonzero(fine[self.line] & (self.kind != DOT)):
+            keys[int(self.line[i]), int(self.top[i])].append("<<" if self.kind[i] == OPEN else ">>" if self.kind[i] == CLOSE else pieces[int(i)])
+        return rows, [[" ".join(keys[int(r), k]) for r in rows] for k in range(3)]
+
+
+def _cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte ranges as strings, copied once."""
+    length = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(length)])
+    take = np.repeat(starts - offsets[:-1], length) + np.arange(offsets[-1])
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[take])])
+
+
+def _expand(terms: pa.Array, line: np.ndarray, maps: list[dict]) -> list[str]:
+    """Canonical keys of terms as they stand in the lines; ``a`` stands for rdf:type."""
     out = terms.to_pylist()
     for k, t in enumerate(out):
         if t == "a":
@@ -327,37 +361,55 @@ def _expand(terms: pa.Array, file: np.ndarray, maps: list[dict]) -> list[str]:
             end = t.rindex('"')
             rest = t[end + 1 :]
             out[k] = f'"{canonical(t[1:end])}"{"" if rest == _PLAIN else rest}'
-        elif t[0] not in "<_+-0123456789":
+        elif t[0] not in "<_+-.0123456789":
             prefix, _, local = t.partition(":")
-            if prefix in maps[file[k]]:
-                out[k] = f"<{maps[file[k]][prefix]}{local}>"
+            if prefix in maps[line[k]]:
+                out[k] = f"<{maps[line[k]][prefix]}{_LOCAL.sub(r'\1', local)}>"
     return out
 
 
+_LOCAL = re.compile(r"\\(.)", re.S)
+
+
+def judge_batch(lines: pa.Array, names: pa.Array, maps: list[dict] | None = None) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+    """For each line its code in ``REASONS`` (0: none); with ``maps`` (prefixes by line) also the valid rows and terms."""
+    lines = pc.fill_null(lines, "")
+    flags = lambda a: a.to_numpy(zero_copy_only=False)
+    named = flags(pc.fill_null(pc.or_(pc.ends_with(names, "ttl"), pc.ends_with(names, "nt")), False))
+    rows, terms = index_lines(lines)
+    good = named[rows]
+    rest = np.ones(len(lines), bool)
+    rest[rows[good]] = False
+    other = np.flatnonzero(rest)
+    left = lines.take(pa.array(other))
+    bare = pc.utf8_ltrim(left, SPACE)
+    said = flags(pc.and_(pc.not_equal(bare, ""), pc.invert(pc.starts_with(bare, "#"))))
+    codes = np.zeros(len(lines), np.int8)
+    codes[other[said & ~named[other]]] = FILE
+    said &= named[other]
+    said[said] = ~flags(pc.match_substring_regex(left.filter(pa.array(said)), DIRECTIVE))
+    other = other[said]
+    chains = TokenChains(left.filter(pa.array(said)))
+    codes[other] = chains.fails
+    if maps is None:
+        return codes, rows[good], []
+    more, keys = chains.triples([maps[i] for i in other])
+    first = [_expand(t.filter(pa.array(good)), rows[good], maps) for t in terms]
+    return codes, np.concatenate([rows[good], other[more]]), [a + b for a, b in zip(first, keys)]
+
+
 def _judge_batches(triples: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, names, lines = b.column("line_id"), b.column("filename"), pc.fill_null(b.column("line"), "")
-            named = pc.fill_null(pc.or_(pc.ends_with(names, "ttl"), pc.ends_with(names, "nt")), False).to_numpy(zero_copy_only=False)
             if not b.num_rows:
                 continue
-            rows, terms = index_lines(lines)
-            fine = named[rows]
-            rest = np.ones(b.num_rows, bool)
-            rest[rows[fine]] = False
-            maps = [dict(m or ()) for m in b.column("prefixes").to_pylist()] if triples else None
-            other = np.flatnonzero(rest)
-            judged = [(i, judge(line, name, maps[i] if maps else None)) for i, line, name in zip(other, lines.take(pa.array(other)).to_pylist(), names.take(pa.array(other)).to_pylist())]
+            ids = b.column("line_id")
+            codes, rows, keys = judge_batch(b.column("line"), b.column("filename"), [dict(m or ()) for m in b.column("prefixes").to_pylist()] if triples else None)
             if triples:
-                at = rows[fine]
-                keys = [_expand(t.filter(pa.array(fine)), at, maps) for t in terms]
-                more = [(i, t) for i, (_, t) in judged if t]
-                where = np.concatenate([at, np.array([i for i, _ in more], np.int64)])
-                columns = [pa.array(k + [t[j] for _, t in more]) if where.size else pa.array([], pa.string()) for j, k in enumerate(keys)]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(where)), *[c.cast(pa.string()) for c in columns]], names=["line_id", "s", "p", "o"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), *[pa.array(k, pa.string()) for k in keys]], names=["line_id", "s", "p", "o"])
             else:
-                bad = [(i, reason) for i, (reason, _) in judged if reason]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array([i for i, _ in bad], pa.int64())), pa.array([r for _, r in bad], pa.string())], names=["line_id", "reason"])
+                bad = np.flatnonzero(codes)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(bad)), pa.array(REASONS[codes[bad]], pa.string())], names=["line_id", "reason"])
 
     return run
 
@@ -388,17 +440,13 @@ def judge_lines(lines: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            [good] = _judge_batches(True)([b]) if b.num_rows else [None]
-            if good is None:
+            if not b.num_rows:
                 continue
-            [bad] = _judge_batches(False)([b])
-            ids = b.column("line_id")
-            for part, columns in ((good, ["s", "p", "o"]), (bad, ["reason"])):
-                at = pc.index_in(part.column("line_id"), ids)
-                none = pa.nulls(part.num_rows, pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("filename").take(at), b.column("line").take(at), *[part.column(c) if c in columns else none for c in ("s", "p", "o", "reason")]],
-                    names=["filename", "line", "s", "p", "o", "reason"],
-                )
+            codes, good, keys = judge_batch(b.column("line"), b.column("filename"), [dict(m or ()) for m in b.column("prefixes").to_pylist()])
+            bad = np.flatnonzero(codes)
+            at, none = pa.array(np.concatenate([good, bad])), [None] * len(bad)
+            reason = pa.array([None] * len(good) + list(REASONS[codes[bad]]), pa.string())
+            columns = [b.column("filename").take(at), b.column("line").take(at), *[pa.array(k + none, pa.string()) for k in keys], reason]
+            yield pa.RecordBatch.from_arrays(columns, names=["filename", "line", "s", "p", "o", "reason"])
 
     return rows.mapInArrow(run, "filename string, line string, s string, p string, o string, reason string")
