@@ -1,4 +1,6 @@
 import random
+import sys
+from decimal import Decimal
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -19,12 +21,23 @@ def test_total_order():
 
 
 def test_text_that_is_no_term_comes_last():
-    odd = ["<< <a> <b> >>", "<< <a>\t <b> \t>>", "<< <a> <b <c> >>", "<<", "<<>>", "abc", '"open', "<open", '"x">', "9" * 5000, "1.2.3", ""]
+    odd = ["<< <a> <b> >>", "<< <a>\t <b> \t>>", "<< <a> <b <c> >>", "<<", "<<>>", "abc", '"open', "<open", '"x">', "1.2.3", ""]
     assert all(sort_key(k) >= b"\x03" for k in odd)
     assert sorted(["zzz", "abc", '"a"^^<x>'], key=sort_key) == ['"a"^^<x>', "abc", "zzz"]
     assert sort_key("0." + "1" * 60) < sort_key("0.2")
 
 
+def test_numbers_of_any_length_order_by_value():
+    r = random.Random(3)
+    integers = [str(r.choice([1, -1]) * r.randrange(10 ** r.randint(1, 200))) for _ in range(200)] + [str(10**60 - 1), str(10**60), str(10**61), str(-(10**61)), str(1 - 10**60), "9" * 5000, "-" + "9" * 5000]
+    sys.set_int_max_str_digits(0)
+    assert [int(k) for k in sorted(integers, key=sort_key)] == sorted(map(int, integers))
+    decimals = [f"{x}.{'0' * r.randint(0, 60)}{r.randrange(10 ** r.randint(1, 90))}" for x in integers[:100]] + ["-0.0", "0.0", "-0.1", "0.1", ".5"]
+    assert [Decimal(k) for k in sorted(decimals, key=sort_key)] == sorted(map(Decimal, decimals))
+    blanks = ["_:f/2", "_:f/10", "_:f/" + "9" * 30, "_:f/1" + "0" * 30, "_:f/x"]
+    assert sorted(reversed(blanks), key=sort_key) == blanks
+
+
 @given(st.lists(st.integers()))
 def test_integers_order_by_value(values):
     assert sorted(map(str, values), key=sort_key) == list(map(str, sorted(values)))

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 import struct
-from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -137,15 +136,25 @@ def _bytes(text: str) -> bytes:
     return text.encode().replace(b"\0", b"\0\xff") + b"\0\0"
 
 
-def _integer(n: int, width: int) -> bytes:
-    return b"1" + b"%0*d" % (width, n) if n >= 0 else b"0" + (b"%0*d" % (width, -n)).translate(bytes.maketrans(b"0123456789", b"9876543210"))
+def _magnitude(digits: str) -> bytes:
+    """Digits without leading zeros behind their number, so that unsigned order of the bytes is the order of values."""
+    return struct.pack(">Q", len(digits)) + digits.encode()
+
+
+def _signed(negative: bool, whole: str, fraction: str = "") -> bytes:
+    """A number of any length: sign, digits before the point behind their number, digits behind it; complemented below zero."""
+    whole, fraction = whole.lstrip("0"), fraction.rstrip("0")
+    body = _magnitude(whole) + fraction.encode() + b"\0"
+    if negative and (whole or fraction):
+        return b"\0" + bytes(255 - x for x in body)
+    return b"\1" + body
 
 
 def sort_key(key: str | None) -> bytes | None:
     """Bytes whose unsigned order is the total order of terms: kind, then value, quoted triples component by component.
 
-    Integers and decimals are ordered exactly up to 60 digits before the point and 40 behind it.  Text that is no term
-    follows all terms, in the order of its code points.
+    Integers and decimals are ordered exactly at any number of digits.  Text that is no term follows all terms, in the
+    order of its code points.
     """
     if key is None:
         return None
@@ -164,7 +173,9 @@ def _term_key(key: str) -> bytes:
         return head + _bytes(key[1:-1])
     if k == BLANK:
         scope, _, number = key[2:].rpartition("/")
-        return head + _bytes(scope) + (struct.pack(">Q", int(number)) if number.isdecimal() and len(number) < 19 else b"\xff" * 8 + _bytes(number))
+        if number.isascii() and number.isdigit():
+            return head + _bytes(scope) + _magnitude(number.lstrip("0")) + _bytes(number)
+        return head + _bytes(scope) + b"\xff" * 8 + _bytes(number)
     if k == STRING:
         return head + _bytes(key[1:-1])
     if k == LANG:
@@ -173,13 +184,11 @@ def _term_key(key: str) -> bytes:
     if k == TYPED:
         m = _TYPED.match(key)
         return head + _bytes(m[1]) + _bytes(m[2])
-    if k == INTEGER:
-        return head + _integer(int(key), 60) + _bytes(key)
-    if k == DECIMAL:
-        sign, digits, exponent = Decimal(key).as_tuple()
-        scaled, shift = int("".join(map(str, digits))), 40 + exponent
-        scaled = scaled * 10**shift if shift >= 0 else scaled // 10**-shift
-        return head + _integer(-scaled if sign else scaled, 100) + _bytes(key)
+    if k in (INTEGER, DECIMAL):
+        whole, _, fraction = key.lstrip("+-").partition(".")
+        if not (whole + fraction).isascii():
+            whole, fraction = (re.sub(r"\d", lambda m: str(int(m[0])), x) for x in (whole, fraction))
+        return head + _signed(key.startswith("-"), whole, fraction) + _bytes(key)
     bits = struct.unpack(">Q", struct.pack(">d", float(key)))[0]
     return head + struct.pack(">Q", bits ^ (0xFFFFFFFFFFFFFFFF if bits >> 63 else 1 << 63)) + _bytes(key)
 
