@@ -57,10 +57,10 @@ def test_state_is_that_of_brute_force(spark, tmp_path, seed, batches):
 def test_files_are_not_rewritten(spark, tmp_path):
     store = DeltaVectorTable(spark, f"file://{tmp_path}/t")
     store.apply(spark.createDataFrame([(1, "<s>", "<p>", '"a"', None, 0, 1, 0, ""), (2, "<s>", "<p>", '"b"', None, 0, 1, 1, "")], FEED))
-    before = sorted(f.name for f in (tmp_path / "t/images").rglob("*.parquet"))
+    before = sorted(f.name for f in (tmp_path / "t/rows").rglob("*.parquet"))
     store.apply(spark.createDataFrame([(3, "<s>", "<p>", None, None, 1, 5, 0, ""), (4, "<s>", "<p>", '"c"', None, 0, 6, 0, "")], FEED))
     assert rows(store.read()) == [("<s>", "<p>", '"c"')]
-    assert set(before) <= {f.name for f in (tmp_path / "t/images").rglob("*.parquet")}
+    assert set(before) <= {f.name for f in (tmp_path / "t/rows").rglob("*.parquet")}
     store.apply(spark.createDataFrame([(5, "<s>", "<p>", '"z"', None, 0, 4, 0, "")], FEED))  # older than the end of all
     assert rows(store.read()) == [("<s>", "<p>", '"c"')]
 
@@ -75,3 +75,28 @@ def test_bits(spark):
     df = spark.range(20).where("id % 3 = 0").select(F.bitmap_construct_agg("id").alias("b"))
     got = [r.id for r in spark.range(20).join(df).where(bit_is_set(F.col("b"), F.col("id"))).orderBy("id").collect()]
     assert got == list(range(0, 20, 3))
+
+
+def test_one_change_touches_one_bucket(spark, tmp_path):
+    store = DeltaVectorTable(spark, f"file://{tmp_path}/t", buckets=8)
+    store.apply(spark.createDataFrame([(i, f"<s{i}>", "<p>", '"a"', None, 0, 1, 0, "") for i in range(60)], FEED))
+    before = store.state()
+    store.apply(spark.createDataFrame([(99, "<s5>", "<p>", '"b"', '"a"', 0, 2, 0, "")], FEED))
+    after = store.state()
+    changed = {b for kind in ("rows", "index", "bits", "tombs") for b in after[kind] if after[kind][b] != before[kind].get(b)}
+    assert len(changed) == 1 and len(before["rows"]) == 8
+    assert ("<s5>", "<p>", '"b"') in rows(store.read()) and len(rows(store.read())) == 60
+    assert not list((tmp_path / "t/steps").glob("*"))
+
+
+def test_many_small_batches_are_compacted(spark, tmp_path, monkeypatch):
+    from tripleloom.operators import changes, vectors
+
+    monkeypatch.setattr(vectors, "COMPACT_AFTER", 2)
+    monkeypatch.setattr(changes, "COMPACT_AFTER", 2)
+    made = feed(7, 200)
+    store = DeltaVectorTable(spark, f"file://{tmp_path}/t", buckets=2)
+    for k in range(6):
+        store.apply(spark.createDataFrame(made[k::6], FEED))
+        assert all(len(d) <= 3 for kind in ("rows", "tombs") for d in store.state()[kind].values())
+    assert rows(store.read()) == brute(made)

@@ -2,9 +2,9 @@ import random
 
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
 
 from tripleloom.operators import history
+from tripleloom.operators.vectors import Conflict
 
 SNAPSHOTS = "row_id bigint, graph_name string, version int, s string, p string, o string, loaded_at timestamp"
 LOG = "graph_name string, version int, complete boolean, taken_at timestamp"
@@ -147,16 +147,54 @@ def test_p1_found_corrects_a_store(spark, tmp_path, monkeypatch):
     assert len(batches) == 2 and min(batches) > 0 and sum(batches) == len(found)
 
 
-def test_late_sightings_leave_other_chains_as_stored(spark, tmp_path):
+def test_late_sightings_read_and_write_only_their_chains(spark, tmp_path):
     log = spark.createDataFrame([("a", 1, True, START), ("a", 2, True, START)], LOG)
-    store = history.ChainStore(spark, f"file://{tmp_path}/chains", buckets=1)
-    store.apply(spark.createDataFrame([(i, "a", 1, f"<s{i}>", "<p>", "<o>", START) for i in range(3)], SNAPSHOTS), log)
-    stored = store.read().withColumn("valid_to", F.lit(77))  # marks what is copied
-    path = store._manifest()["chains"]["0"][0]
-    made = stored.collect()
-    spark.createDataFrame(made, history.STORED["chains"]).coalesce(1).write.mode("overwrite").parquet(f"{store.path}/{path}")
-    store.apply(spark.createDataFrame([(9, "a", 2, "<s1>", "<p>", "<o>", START)], SNAPSHOTS), log)
-    assert {r[0]: r[-1] for r in kept(store)} == {"<s0>": 77, "<s1>": -1, "<s2>": 77}
+    store = history.ChainStore(spark, f"file://{tmp_path}/chains", buckets=4)
+    store.apply(spark.createDataFrame([(i, "a", 1, f"<s{i}>", "<p>", "<o>", START) for i in range(40)], SNAPSHOTS), log)
+    before = store.state()
+    store.apply(spark.createDataFrame([(99, "a", 2, "<s1>", "<p>", "<o>", START)], SNAPSHOTS), log)
+    after = store.state()
+    changed = [b for b in after["rows"] if after["rows"][b] != before["rows"].get(b)]
+    assert len(changed) == 1 and all(d in after["rows"][b] for b, dirs in before["rows"].items() for d in dirs)
+    [made] = [d for d in after["rows"][changed[0]] if d not in before["rows"][changed[0]]]
+    assert rows(spark.read.schema(history.CHAINS).parquet(f"{store.path}/{made}")) == [("a", "<s1>", "<p>", "<o>", 1, -1)]
+    assert {r[0]: r[-1] for r in kept(store)} == {f"<s{i}>": -1 if i == 1 else 2 for i in range(40)}
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    log = spark.createDataFrame([("a", 1, True, START)], LOG)
+    store = history.ChainStore(spark, f"file://{tmp_path}/chains", buckets=2)
+    one = spark.createDataFrame([(1, "a", 1, "<s>", "<p>", "<o>", START)], SNAPSHOTS)
+    two = spark.createDataFrame([(2, "a", 1, "<t>", "<p>", "<o>", START)], SNAPSHOTS)
+    first, calls = store.state, []
+
+    def state():
+        found = first()
+        if not calls:
+            calls.append(1)
+            history.ChainStore(spark, f"file://{tmp_path}/chains", buckets=2).apply(two, log)  # the other writer is faster
+        return found
+
+    store.state = state
+    store.apply(one, log)
+    assert [r[0] for r in kept(history.ChainStore(spark, f"file://{tmp_path}/chains"))] == ["<s>", "<t>"]
+    with pytest.raises(Conflict):
+        store.versions.publish({"version": 1})
+
+
+def test_compaction_and_vacuum(spark, tmp_path):
+    found, log = sample(6, 200)
+    log_df = spark.createDataFrame(log, LOG)
+    store = history.ChainStore(spark, f"file://{tmp_path}/chains", buckets=3)
+    for k in range(5):
+        store.apply(spark.createDataFrame(found[k::5], SNAPSHOTS), log_df)
+    assert kept(store) == brute(found, log)
+    store.change(lambda state, tag: store.compact(state, tag, range(3)) is None)
+    assert all(len(d) == 1 for d in store.state()["rows"].values()) and store.state()["bits"] == {}
+    assert kept(store) == brute(found, log)
+    for version in store.versions._all()[:-1]:
+        (tmp_path / f"chains/manifest-{version}.json").unlink()
+    assert store.vacuum() > 0 and kept(store) == brute(found, log)
 
 
 def test_corrected_empty(spark, tmp_path):

@@ -2,8 +2,8 @@
 
 A *chain* is the ordered list of periods of one triple of one graph.  ``build_chains`` and ``history`` make all chains
 in one pass.  ``ChainStore`` keeps raw sightings and chains in the shared folder, in hash buckets: late or corrected
-sightings rebuild only the chains they affect, from those triples' raw sightings, and the buckets' chains are replaced
-atomically by renaming a manifest.  ``corrected`` loads the sightings in time into a store and the late ones on top.
+sightings rebuild only the chains they affect, from those triples' raw sightings, and replace them atomically.
+``corrected`` loads the sightings in time into a store and the late ones on top.
 
 Defined cases: rows with a NULL graph, version, subject, predicate or object show nothing.  Repeated rows count once.
 A graph without log rows has no complete snapshot, so its periods never end.  ``"x"^^xsd:string`` and ``"x"`` are one
@@ -12,17 +12,19 @@ term.  Extra columns are ignored.  An empty snapshot table has no chains.
 
 from __future__ import annotations
 
-import json
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import plain_string
-from ..runtime import broadcast_if_small
+from ..runtime import broadcast_if_small, drop_path
+from .vectors import HASH, VectorTable, hashed
 
 KEY = ["graph_name", "s", "p", "o"]
 OPEN = -1
-STORED = {"raw": "graph_name string, s string, p string, o string, seen array<int>", "chains": "graph_name string, s string, p string, o string, valid_from int, valid_to int"}
+RAW = "graph_name string, s string, p string, o string, seen array<int>"
+CHAINS = "graph_name string, s string, p string, o string, valid_from int, valid_to int"
 PROOFS = "graph_name string, proofs array<int>"
 
 
@@ -91,92 +93,80 @@ def as_of(periods: DataFrame, version: int) -> DataFrame:
     return periods.where((F.col("valid_from") <= version) & ((F.col("valid_to") == OPEN) | (F.col("valid_to") > version)))
 
 
-class ChainStore:
-    """Raw sightings and chains in ``path``, in ``buckets`` hash buckets of the triple.
+class ChainStore(VectorTable):
+    """Raw sightings, proofs and chains at ``path``, in hash buckets of the triple.
 
-    ``apply`` takes a batch of sightings and the whole log as known then.  It appends the sightings, rebuilds the
-    affected chains, keeps the others of their buckets as stored, and publishes by renaming one manifest file: a reader
-    sees all of a batch or nothing of it, and a batch that is applied again changes nothing.  Affected are the chains of
-    the triples that the batch shows and, as a period ends by absence, all chains of the graphs whose complete snapshots
-    are not those of the manifest.  A log that changed without sightings is applied with an empty batch.
+    ``apply`` takes a batch of sightings and the whole log as known then.  Touched are the triples that the batch shows
+    and, as a period ends by absence, those with an open period in graphs with new complete snapshots (all of a graph's
+    if its complete snapshots changed otherwise).  They are located in the index of chains, their raw sightings are
+    fetched, all their periods are rebuilt and appended, and their old periods are marked in delete vectors; no other
+    chain is read or written.  Publishing the state is the commit: a reader sees all of a batch or nothing of it, and a
+    batch that is applied again changes nothing.  A log that changed without sightings is applied with an empty batch.
     """
 
-    def __init__(self, spark, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-        self.fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self.fs = self.fs_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        state = self._manifest()
-        if state:
-            self.buckets = state["buckets"]
-
-    def _manifest(self) -> dict | None:
-        at = self.fs_path(f"{self.path}/manifest.json")
-        if not self.fs.exists(at):
-            return None
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/manifest.json").collect()))
-
-    def _publish(self, state: dict) -> None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        target = self.fs_path(f"{self.path}/manifest.json")
-        made = self.fs_path(f"{self.path}/manifest-{state['version']}.tmp")
-        out = self.fs.create(made, True)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        context = hadoop.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        mode = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
-        mode[0] = hadoop.Options.Rename.OVERWRITE
-        context.rename(made, target, mode)
-
-    def _bucketed(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(self.buckets)).cast("int"))
-
-    def _read(self, kind: str, state: dict, only: list[int] | None = None) -> DataFrame | None:
-        paths = [d for b, dirs in state[kind].items() if only is None or int(b) in only for d in dirs]
-        return self.spark.read.schema(STORED[kind]).parquet(*[f"{self.path}/{d}" for d in paths]) if paths else None
+    def __init__(self, spark, path: str, buckets: int = 32):
+        super().__init__(spark, path, CHAINS, KEY, KEY, ["graph_name", "valid_to"], (), buckets)
+
+    def state(self) -> dict:
+        return {"raw": {}, "proofs": None, **super().state()}
 
     def _moved(self, state: dict, proofs: DataFrame) -> DataFrame:
-        """Graphs whose complete snapshots are not those of the manifest; of a store without them, all its graphs."""
-        if "proofs" not in state:
-            known = self._read("chains", state)
-            return (proofs if known is None else known).select("graph_name").distinct()
-        old = self.spark.read.schema(PROOFS).parquet(f"{self.path}/{state['proofs']}")
-        return old.unionByName(proofs).groupBy("graph_name", "proofs").count().where("count = 1").select("graph_name").distinct()
+        """(graph_name, all_): graphs whose complete snapshots changed, and whether not only by later ones."""
+        if state["proofs"] is None:
+            return proofs.select("graph_name", F.lit(True).alias("all_"))
+        old = self.spark.read.schema(PROOFS).parquet(f"{self.path}/{state['proofs']}").withColumnRenamed("proofs", "before")
+        both = old.join(proofs, "graph_name", "full").where(~F.col("before").eqNullSafe(F.col("proofs")))
+        size = F.coalesce(F.size("before"), F.lit(0))
+        later = F.col("proofs").isNotNull() & (F.slice("proofs", F.lit(1), size) == F.coalesce("before", F.array().cast("array<int>")))
+        return both.select("graph_name", (~later | F.col("before").isNull()).alias("all_"))
 
     def apply(self, rows: DataFrame, log: DataFrame) -> None:
-        state = self._manifest() or {"version": 0, "buckets": self.buckets, "raw": {}, "chains": {}}
-        version = state["version"] + 1
-        raw_dir, chain_dir, proof_dir = f"raw/{version}", f"chains/{version}", f"proofs/{version}"
-        self._bucketed(sightings(rows)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{raw_dir}")
+        self.change(lambda state, tag: self._apply(rows, log, state, tag))
+
+    def _apply(self, rows: DataFrame, log: DataFrame, state: dict, tag: str) -> bool:
+        shown = self.write(sightings(rows).withColumn("bucket", self.bucket()), f"raw/{tag}")
+        proof_dir = f"proofs/{tag}"
         complete_versions(log).write.mode("overwrite").parquet(f"{self.path}/{proof_dir}")
-        batch = self.spark.read.schema(f"{STORED['raw']}, bucket int").parquet(f"{self.path}/{raw_dir}")
         proofs = self.spark.read.schema(PROOFS).parquet(f"{self.path}/{proof_dir}")
         log = proofs.select("graph_name", F.explode("proofs").alias("version"), F.lit(True).alias("complete"))  # the log as written, should it grow meanwhile
-        shown = sorted(r.bucket for r in batch.select("bucket").distinct().collect())  # at most `buckets` rows
-        changed, stored, moved = batch.drop("bucket"), self._read("chains", state), broadcast_if_small(self._moved(state, proofs))
-        ended = [] if stored is None else [r.bucket for r in self._bucketed(stored.join(moved, "graph_name", "left_semi")).select("bucket").distinct().collect()]
-        hit = sorted({*shown, *ended})
-        if not hit:
-            return
-        before, kept = self._read("raw", state, hit), self._read("chains", state, hit)
-        if before is None:
-            fresh = chains(changed, log)
-        else:  # raw sightings of several batches are one sighting list
-            keys = broadcast_if_small(changed.select(*KEY))
-            still = before.join(moved, "graph_name", "left_anti").join(keys, KEY, "left_semi")
-            raw = before.join(moved, "graph_name", "left_semi").unionByName(still).unionByName(changed)
-            merged = raw.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("seen"))
-            fresh = chains(merged, log).unionByName(kept.join(moved, "graph_name", "left_anti").join(keys, KEY, "left_anti"))
-        self._bucketed(fresh).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{chain_dir}")
-        for b in shown:
-            state["raw"].setdefault(str(b), []).append(f"{raw_dir}/bucket={b}")
-        for b in hit:
-            state["chains"][str(b)] = [f"{chain_dir}/bucket={b}"]
-        state["version"], state["proofs"] = version, proof_dir
-        self._publish(state)
+        moved = self._moved(state, proofs)
+        index = self.index(state)
+        new = {"raw": {}}
+        self.add(new, "raw", f"raw/{tag}", shown)
+        batch = self.load(new, "raw", RAW)
+        if index is None:  # the first sightings: all chains are new
+            if batch is None and state["proofs"] is None and proofs.isEmpty():
+                return False
+            if batch is not None:
+                self.append(state, chains(batch, log), tag)
+        else:
+            touched = [index.join(broadcast_if_small(moved), "graph_name").where("all_ OR valid_to = -1").select(*HASH, "bucket")]
+            if batch is not None:
+                touched.append(batch.select(*hashed(KEY), self.bucket()))
+            located = f"{self.path}/steps/{tag}"
+            reduce(DataFrame.unionByName, touched).distinct().write.mode("overwrite").parquet(located)
+            keys = self.spark.read.schema("k1 bigint, k2 bigint, bucket int").parquet(located)
+            hit = [r.bucket for r in keys.select("bucket").distinct().collect()]  # at most `buckets` rows
+            if not hit and new["raw"] == {} and moved.isEmpty():
+                drop_path(self.spark, located)
+                return False
+            if hit:
+                few = broadcast_if_small(keys.select(*HASH))
+                self.mark(state, self.index(state, hit).join(few, HASH, "left_semi").select("bucket", "file", "place"), tag) if self.paths(state, "index", hit) else None
+                raw = self.load(state, "raw", RAW, hit)
+                raw = None if raw is None else raw.select("*", *hashed(KEY)).join(few, HASH, "left_semi").select(*KEY, "seen")
+                raw = batch if raw is None else raw if batch is None else raw.unionByName(batch)
+                # raw sightings of several batches are one list
+                merged = raw.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("seen"))
+                self.append(state, chains(merged, log), tag)
+            drop_path(self.spark, located)
+        self.add(state, "raw", f"raw/{tag}", shown)
+        state["proofs"] = proof_dir
+        self.compact(state, tag)
+        return True
 
     def read(self) -> DataFrame | None:
-        state = self._manifest()
-        return self._read("chains", state) if state else None
+        return self.live(self.state())
 
 
 def corrected(store: ChainStore, rows: DataFrame, log: DataFrame) -> DataFrame:
@@ -185,4 +175,4 @@ def corrected(store: ChainStore, rows: DataFrame, log: DataFrame) -> DataFrame:
     store.apply(marked.where("NOT late"), log)
     store.apply(marked.where("late"), log)
     read = store.read()
-    return store.spark.createDataFrame([], STORED["chains"]) if read is None else read
+    return store.spark.createDataFrame([], CHAINS) if read is None else read

@@ -134,19 +134,32 @@ def p4_triples(spark: SparkSession, d: str) -> DataFrame:
 
 # -- 5
 
+#: Batches that the feed is applied in, in order of arrival.
+FEED_BATCHES = 4
+
+
+def feed_batches(feed: DataFrame, batches: int = FEED_BATCHES) -> list[DataFrame]:
+    """The feed cut into ranges of ``change_id``, which is the order of arrival."""
+    least, most = feed.agg(F.min("change_id"), F.max("change_id")).first()
+    if least is None:
+        return [feed]
+    step = (most - least) // batches + 1
+    cuts = [(least + k * step, least + (k + 1) * step) for k in range(batches)]
+    return [feed.where((F.col("change_id") >= F.lit(a)) & (F.col("change_id") < F.lit(b))) for a, b in cuts]
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     store = changes.DeltaVectorTable(spark, new_path(spark, "changes"))
-    store.apply(table(spark, d, "triple_changes"))
+    for batch in feed_batches(table(spark, d, "triple_changes")):
+        store.apply(batch)
     return store.read()
 
 
 def p5_batches(spark: SparkSession, d: str) -> DataFrame:
     """The same state from two batches, the feed's later half first."""
-    feed = table(spark, d, "triple_changes")
-    middle = feed.agg(F.percentile_approx("change_id", 0.5)).first()[0]
     store = changes.DeltaVectorTable(spark, new_path(spark, "changes"))
-    store.apply(feed.where(F.col("change_id") > F.lit(middle)))
-    store.apply(feed.where(F.col("change_id") <= F.lit(middle)))
+    for batch in reversed(feed_batches(table(spark, d, "triple_changes"), 2)):
+        store.apply(batch)
     return store.read()
 
 
