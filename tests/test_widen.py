@@ -2,6 +2,7 @@ import datetime
 import random
 from decimal import ROUND_HALF_UP, Decimal, localcontext
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -88,3 +89,21 @@ def test_wide_table_keeps_what_its_types_cannot_hold(spark):
     df = spark.createDataFrame([("<x>", "<a>", "9" * 39), ("<x>", "<h>", "1e40"), ("<y>", "<a>", "7"), ("<y>", "<n1>", '"n"')], "s string, p string, o string")
     made = pivot_blocks(df, df.select("s"), ATTRIBUTES, beyond="beyond_types").select("s", "age", "height", "name", "beyond_types")
     assert rows(made) == [("<x>", None, None, None, {"age": "9" * 39, "height": "1" + "0" * 40 + ".00"}), ("<y>", Decimal(7), None, "n", {})]
+
+
+def test_types_of_one_column_must_agree(spark):
+    df = spark.createDataFrame([("<x>", "<a>", "1")], "s string, p string, o string")
+    with pytest.raises(ValueError, match="'age'"):
+        pivot_blocks(df, df.select("s"), [Attribute("<a>", "age", "int"), Attribute("<b>", "age", "string")])
+    with pytest.raises(ValueError, match="unknown type"):
+        pivot_blocks(df, df.select("s"), [Attribute("<a>", "age", "float")])
+    assert rows(pivot_blocks(df, df.select("s"), [])) == [("<x>",)]
+
+
+def test_a_predicate_of_several_blocks_and_one_scan(spark, tmp_path):
+    spark.createDataFrame([("<x>", "<a>", "1"), ("<x>", "<b>", "2"), ("<y>", "<c>", "3")], "s string, p string, o string").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    made = pivot_blocks(df, df.select("s"), [Attribute("<a>", "one", "int"), Attribute("<b>", "two", "int"), Attribute("<a>", "three", "string")], block=1)
+    assert rows(made) == [("<x>", 1, 2, "1"), ("<y>", None, None, None)]
+    read = [f for f in made.inputFiles() if f"{tmp_path}/t/" in f]
+    assert len(read) == len(set(df.inputFiles()))  # the blocks are read from their own folders

@@ -55,7 +55,7 @@ def events(feed: DataFrame) -> DataFrame:
 class DeltaVectorTable(VectorTable):
     """A table of triples at ``path``: images with their begin, tombstones, bitmaps; in buckets of subject and predicate."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 8):
         super().__init__(spark, path, f"s string, p string, o string, begins {ORDER}", KEY, PAIR, ["begins"], PAIR, buckets)
 
     def state(self) -> dict:
@@ -72,12 +72,12 @@ class DeltaVectorTable(VectorTable):
 
     def _apply(self, feed: DataFrame, state: dict, tag: str) -> bool:
         steps = f"{self.path}/steps/{tag}"
-        made = events(feed)
-        hit = self.write(made.select(*KEY, "begins", "ends", *hashed(KEY), *hashed(PAIR, GROUP), self.bucket()), f"steps/{tag}")
+        events(feed).select(*KEY, "begins", "ends", *hashed(KEY), *hashed(PAIR, GROUP)).write.parquet(steps)
+        batch = self.spark.read.schema(STEP).parquet(steps)
+        hit = [r.bucket for r in batch.select(self.bucket()).distinct().collect()]  # at most `buckets` rows
         if not hit:
             drop_path(self.spark, steps)
             return False
-        batch = self.spark.read.schema(STEP).parquet(*[f"{steps}/bucket={b}" for b in hit])
 
         # tombstones: those of the batch are added to those of its buckets
         ends = batch.where("ends IS NOT NULL").select(*HASH, *GROUP, F.col("o").isNull().alias("whole"), "ends", self.bucket())

@@ -104,7 +104,7 @@ class ChainStore(VectorTable):
     batch that is applied again changes nothing.  A log that changed without sightings is applied with an empty batch.
     """
 
-    def __init__(self, spark, path: str, buckets: int = 32):
+    def __init__(self, spark, path: str, buckets: int = 8):
         super().__init__(spark, path, CHAINS, KEY, KEY, ["graph_name", "valid_to"], (), buckets)
 
     def state(self) -> dict:

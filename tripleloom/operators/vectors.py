@@ -148,9 +148,12 @@ class VectorTable:
 
     # -- writing; a change is published by `publish`
 
-    def write(self, df: DataFrame, folder: str) -> list[int]:
-        """``df`` (with ``bucket``) by bucket below ``folder``; the buckets that have rows.  Large buckets are split."""
-        df.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{folder}")
+    def write(self, df: DataFrame, folder: str, even: bool = True) -> list[int]:
+        """``df`` (with ``bucket``) by bucket below ``folder``; the buckets that have rows.
+
+        ``even`` gathers each bucket's rows and splits large buckets, by one shuffle.
+        """
+        (df.hint("rebalance", "bucket") if even else df).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{folder}")
         found = self.versions.fs.globStatus(self.versions.hadoop.Path(f"{self.path}/{folder}/bucket=*")) or []
         return sorted(int(f.getPath().getName()[7:]) for f in found)
 
@@ -173,7 +176,7 @@ class VectorTable:
     def mark(self, state: dict, gone: DataFrame, tag: str) -> None:
         """Set the bits of ``gone`` (bucket, file, place) and name the bitmaps in ``state``."""
         made = gone.groupBy("bucket", "file", F.bitmap_bucket_number("place").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap"))
-        self.add(state, "bits", f"bits/{tag}", self.write(made, f"bits/{tag}"))
+        self.add(state, "bits", f"bits/{tag}", self.write(made, f"bits/{tag}", even=False))
 
     def compact(self, state: dict, tag: str, only: Iterable[int] | None = None) -> None:
         """Rewrite the live rows of buckets with more than ``COMPACT_AFTER`` folders (or of those named)."""

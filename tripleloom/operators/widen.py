@@ -1,15 +1,17 @@
 """Attribute-value rows into one wide row per entity, by blocks of columns.
 
-The attributes are cut into blocks.  Each block is pivoted by itself: conditional minima, combined map-side and then
-hash-partitioned by the entity into one number of partitions.  All blocks have identical partitioning, so joining them
-moves nothing.  A block's width bounds the aggregation buffer; thousands of attributes are many blocks.
+The attributes are cut into blocks.  One scan writes the rows of the listed predicates to a folder for each block.  Each
+block is pivoted by itself from its folder: conditional minima, combined map-side and then hash-partitioned by the entity
+into one number of partitions.  All blocks have identical partitioning, so joining them moves nothing.  A block's width
+bounds the aggregation buffer; thousands of attributes are many blocks, but one scan.
 
 Values are parsed by type.  Defined cases: NULL entity, predicate or object rows fill nothing; an entity without a
 valid value in any attribute has a row of NULLs; of several valid values the smallest counts (ties are equal values);
 decimals are exact at any number of digits and rounded once, half up, to two places; one that is written with an
 exponent is valid if it is less than 1e309; typed numbers that their Spark type cannot hold are NULL, or texts in the
 map column that ``beyond`` names; years before 0001 are no real dates; predicates that are
-not listed, and extra columns, are ignored; a predicate listed twice fills both columns.  Empty tables give no rows.
+not listed, and extra columns, are ignored; a predicate listed twice fills both columns; predicates that fill one column
+must have one type (ValueError).  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import literal_text
+from ..runtime import new_path
 
 
 @dataclass(frozen=True)
@@ -112,25 +115,54 @@ def parsed(o: Column, type: str) -> Column:
 SPARK_TYPES = {"string": "string", "iri": "string", "int": "decimal(38,0)", "decimal": "decimal(38,2)", "date": "date", "boolean": "boolean", "year": "int"}
 
 
+def column_types(attributes: list[Attribute]) -> dict[str, str]:
+    """The type of each column; predicates of different types in one column are an error, as they have no common order."""
+    types: dict[str, str] = {}
+    for a in attributes:
+        if types.setdefault(a.column, a.type) != a.type:
+            raise ValueError(f"column {a.column!r} is filled by predicates of the types {types[a.column]} and {a.type}")
+        if a.type not in SPARK_TYPES:
+            raise ValueError(f"unknown type {a.type}")
+    return types
+
+
+def in_blocks(triples: DataFrame, attributes: list[Attribute], block: int) -> tuple[DataFrame, list[list[str]]]:
+    """The rows of the listed predicates, written once in a folder for each block of columns, and the blocks' columns.
+
+    ``triples`` is read once.  A predicate of several blocks is written to each of them.
+    """
+    columns = list(dict.fromkeys(a.column for a in attributes))
+    blocks = [columns[k : k + block] for k in range(0, len(columns), block)]
+    of = {c: k for k, part in enumerate(blocks) for c in part}
+    where: dict[str, set[int]] = {}
+    for a in attributes:
+        where.setdefault(a.predicate, set()).add(of[a.column])
+    places = F.create_map(*[F.lit(x) for p, ks in where.items() for x in (p, sorted(ks))])
+    rows = triples.where(F.col("p").isin(list(where)) & F.col("s").isNotNull() & F.col("o").isNotNull())
+    path = new_path(triples.sparkSession, "blocks")
+    rows.select("s", "p", "o", F.explode(places[F.col("p")]).alias("block")).write.partitionBy("block").parquet(path)
+    return triples.sparkSession.read.schema("s string, p string, o string, block int").parquet(path), blocks
+
+
 def pivot_blocks(triples: DataFrame, entities: DataFrame, attributes: list[Attribute], block: int = 64, typed: bool = True, beyond: str | None = None) -> DataFrame:
     """One row per distinct ``entities.s`` with one column per attribute; ``typed`` casts the values' texts.
 
     ``block`` is the number of columns pivoted together.  ``beyond`` names a further column: a map of the texts that the
     columns' types cannot hold.
     """
-    columns = list(dict.fromkeys(a.column for a in attributes))
+    types = {c: SPARK_TYPES[t] for c, t in column_types(attributes).items()}
+    columns = list(types)
     wide = entities.where("s IS NOT NULL").select("s").distinct()
-    for start in range(0, len(columns), block):
-        part = [a for a in attributes if a.column in columns[start : start + block]]
-        rows = triples.where(F.col("p").isin([a.predicate for a in part]) & F.col("s").isNotNull() & F.col("o").isNotNull())
+    rows, blocks = in_blocks(triples, attributes, block) if attributes else (None, [])
+    for k, names in enumerate(blocks):
         cells = []
-        for c in columns[start : start + block]:
-            value = F.coalesce(*[F.when(F.col("p") == a.predicate, parsed(F.col("o"), a.type)) for a in part if a.column == c])
+        for c in names:
+            mine = [a for a in attributes if a.column == c]
+            value = F.when(F.col("p").isin([a.predicate for a in mine]), parsed(F.col("o"), mine[0].type))
             cells.append(F.min(value)["val"].alias(c))
-        wide = wide.join(rows.groupBy("s").agg(*cells), "s", "left")
+        wide = wide.join(rows.where(F.col("block") == k).groupBy("s").agg(*cells), "s", "left")
     if not typed:
         return wide
-    types = {a.column: SPARK_TYPES[a.type] for a in attributes}
     typed_columns = [F.col(c).try_cast(types[c]).alias(c) for c in columns]
     if beyond is None:
         return wide.select("s", *typed_columns)

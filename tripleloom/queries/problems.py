@@ -135,7 +135,7 @@ def p4_triples(spark: SparkSession, d: str) -> DataFrame:
 # -- 5
 
 #: Batches that the feed is applied in, in order of arrival.
-FEED_BATCHES = 4
+FEED_BATCHES = 3
 
 
 def feed_batches(feed: DataFrame, batches: int = FEED_BATCHES) -> list[DataFrame]:
