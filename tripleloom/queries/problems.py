@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.terms import RDF_TYPE
+from ..functions.terms import RDF_TYPE, XSD
 from ..operators import changes, hierarchy, history, skew, widen
 from ..runtime import new_path
 from ..sources import lines
@@ -97,7 +97,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_wide(spark: SparkSession, d: str) -> DataFrame:
-    return widen.pivot_blocks(table(spark, d, "triples").select("s", "p", "o"), people(spark, d), people_columns(spark, d), block=5, beyond="beyond_types")
+    """Typed columns; ``beyond_types`` has as JSON what a column's type cannot hold."""
+    wide = widen.pivot_blocks(table(spark, d, "triples").select("s", "p", "o"), people(spark, d), people_columns(spark, d), block=5, beyond="beyond_types")
+    return wide.withColumn("beyond_types", F.to_json("beyond_types"))
 
 
 P3_SQL = rf"""
@@ -120,6 +122,9 @@ ok AS (
     CASE WHEN kind = 'decimal' THEN TRY_CAST(x AS DECIMAL(38,10)) WHEN kind = 'int' THEN TRY_CAST(TRY_CAST(x AS HUGEINT) AS DECIMAL(38,10)) ELSE 0 END AS number
   FROM val)
 SELECT s, attr, arg_min(val, (number, val)) AS val FROM ok WHERE val IS NOT NULL GROUP BY s, attr"""
+_WIDE = {"name": "VARCHAR", "title": "VARCHAR", "mbox": "VARCHAR", "email": "VARCHAR", "age": "DECIMAL(38,0)", "height": "DECIMAL(38,2)", "born": "DATE", "birth_year": "INT", "active": "BOOLEAN", "joined": "DATE"}
+P3_WIDE_SQL = f"""SELECT e.s, {', '.join(f"CAST(max(val) FILTER (attr = '{c}') AS {t}) AS {c}" for c, t in _WIDE.items())}, '{{}}' AS beyond_types
+FROM (SELECT DISTINCT s FROM triples WHERE p = '{RDF_TYPE}' AND o = '{PERSON}' AND s IS NOT NULL) e LEFT JOIN ({P3_SQL}) f ON f.s = e.s GROUP BY e.s"""
 
 
 # -- 4
@@ -132,6 +137,52 @@ def p4_triples(spark: SparkSession, d: str) -> DataFrame:
     return lines.valid_triples(table(spark, d, "file_lines"))
 
 
+# A line's tokens are found by one regular expression; each becomes a letter, and the letters of a statement are reduced
+# like a small grammar.  Quoted triples are followed six levels deep.
+_TOKEN = r'[ \t\r]+|#.*|<<|>>|<[^<>]*>|"(?:[^"\\]|\\.)*"(?:@[^ \t\r<>"#]*|\^\^<[^<>]*>)?|[^ \t\r<>"#]+'
+
+
+def _six(letters: str, pattern: str, by: str) -> str:
+    for _ in range(6):
+        letters = f"regexp_replace({letters}, '{pattern}', '{by}', 'g')"
+    return letters
+
+
+def _full(x: str, pattern: str) -> str:
+    return f"regexp_full_match({x}, '{pattern.replace(chr(39), chr(39) * 2)}', 's')"
+
+
+_ZONE, _YEAR = "(?:Z|[+-](?:0[0-9]|1[0-3]):[0-5][0-9]|[+-]14:00)?", "-?(?:[1-9][0-9]{4,}|[0-9]{4})"
+_BODY, _TYPE = r"""regexp_extract(x, '^"(.*)"', 1, 's')""", r"""regexp_extract(x, '"\^\^<([^<>]*)>$', 1)"""
+_DAY = f"""'0' || (((TRY_CAST(regexp_extract({_BODY}, '^(-?[0-9]+)-', 1) AS BIGINT) % 400 + 400) % 400) + 400) || regexp_extract({_BODY}, '^-?[0-9]+(-[0-9]{{2}}-[0-9]{{2}})', 1)"""
+_TYPED_OK = f"""CASE {_TYPE} WHEN '{XSD}integer' THEN {_full(_BODY, '[+-]?[0-9]+')} WHEN '{XSD}decimal' THEN {_full(_BODY, '[+-]?(?:[0-9]+(?:[.][0-9]*)?|[.][0-9]+)')}
+ WHEN '{XSD}boolean' THEN {_full(_BODY, 'true|false|1|0')} WHEN '{XSD}gYear' THEN {_full(_BODY, _YEAR + _ZONE)}
+ WHEN '{XSD}date' THEN {_full(_BODY, _YEAR + '-[0-9]{2}-[0-9]{2}' + _ZONE)} AND TRY_CAST({_DAY} AS DATE) IS NOT NULL ELSE true END"""
+_LITERAL = _full("CASE WHEN x[-1] = '.' THEN left(x, length(x) - 1) ELSE x END", f'"{lines.ESCAPES}"(?:{lines.TAG}|\\^\\^<{lines.IRI_BODY}>)?')
+_WORD, _DOTS = "rtrim(x, '.')", "repeat('.', length(x) - length(rtrim(x, '.')))"
+_LETTER = f"""CASE WHEN x[1] IN (' ', chr(9), chr(13)) THEN ' ' WHEN x[1] = '#' THEN '#' WHEN x = '<<' THEN '(' WHEN x = '>>' THEN ')' WHEN x[1] = '<' THEN 't'
+ WHEN x[1] = '"' THEN CASE WHEN x[-1] = '"' THEN 'S' WHEN x[-1] = '.' THEN 't.' ELSE 't' END
+ ELSE CASE WHEN {_WORD} = '' THEN '' WHEN x[1] = '.' THEN 'V' ELSE 't' END || {_DOTS} END"""
+_CLASS = f"""CASE WHEN x[1] IN (' ', chr(9), chr(13), '#') THEN '' WHEN x = '<<' THEN '(' WHEN x = '>>' THEN ')'
+ WHEN x[1] = '<' THEN CASE WHEN {_full('x', f'<{lines.IRI_BODY}>')} THEN 'i' ELSE 'x' END
+ WHEN x[1] = '"' THEN CASE WHEN {_LITERAL} AND {_TYPED_OK} THEN 'l' ELSE 'x' END || CASE WHEN x[-1] = '.' THEN '.' ELSE '' END
+ ELSE CASE WHEN {_WORD} = '' THEN '' WHEN {_WORD} = 'a' THEN 'a' WHEN {_full(_WORD, lines.NUMBER)} THEN 'l' WHEN x[:2] = '_:' THEN CASE WHEN {_full(_WORD, lines.LABEL)} THEN 'b' ELSE 'x' END
+   WHEN {_full(_WORD, lines.NAME)} THEN 'i' ELSE 'x' END || {_DOTS} END"""
+_TRIMMED = "ltrim(coalesce(line, ''), ' ' || chr(9) || chr(13))"
+P4_SQL = f"""
+WITH said AS (SELECT line_id, filename, line FROM file_lines WHERE {_TRIMMED} <> '' AND {_TRIMMED}[1] <> '#'),
+named AS (SELECT * FROM said WHERE (filename LIKE '%ttl' OR filename LIKE '%nt') AND NOT regexp_matches(line, '{lines.PREFIX_LINE}') AND NOT regexp_matches(line, '{lines.BASE_LINE}')),
+listed AS (SELECT line_id, regexp_extract_all(line, '{_TOKEN}', 0, 's') AS xs FROM named),
+cut AS (SELECT line_id, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM listed),
+told AS (SELECT line_id, sum(length(x)) AS size, string_agg({_LETTER}, '' ORDER BY i) AS letters, string_agg({_CLASS}, '' ORDER BY i) AS classes FROM cut GROUP BY line_id)
+SELECT line_id, 'file' AS reason FROM said WHERE filename IS NULL OR NOT (filename LIKE '%ttl' OR filename LIKE '%nt')
+UNION ALL SELECT line_id, reason FROM (SELECT n.line_id, CASE
+  WHEN size IS NULL OR size < length(n.line) OR regexp_matches(letters, 'S[^ #).V]') OR {_six("regexp_replace(letters, '[^()]', '', 'g')", '[(][)]', '')} <> '' THEN 'quoting'
+  WHEN {_six("regexp_replace(regexp_replace(letters, '[ #]', '', 'g'), '[tSV]', 't', 'g')", '[(]ttt[)]', 't')} <> 'ttt.' THEN 'columns'
+  WHEN NOT regexp_full_match({_six('classes', '[(][ibq][ia][iblq][)]', 'q')}, '[ibq][ia][iblq][.]') THEN 'value' END AS reason
+  FROM named n LEFT JOIN told t USING (line_id)) WHERE reason IS NOT NULL"""
+
+
 # -- 5
 
 #: Batches that the feed is applied in, in order of arrival.
@@ -187,5 +238,5 @@ SELECT p, s FROM n QUALIFY row_number() OVER (PARTITION BY p ORDER BY n DESC, s)
 QUERIES = {f.__name__: f for f in (p1_found, p1_current, p2_found, p2_paths, p2_descendants, p3_found, p3_wide, p4_found, p4_triples, p5_found, p5_batches, p6_found)}
 SQL = {
     "p1_found": P1_SQL, "p1_current": P1_CURRENT_SQL, "p2_found": P2_SQL, "p2_paths": P2_PATHS_SQL, "p2_descendants": P2_DESCENDANTS_SQL,
-    "p3_found": P3_SQL, "p5_found": P5_SQL, "p5_batches": P5_SQL, "p6_found": P6_SQL,
+    "p3_found": P3_SQL, "p3_wide": P3_WIDE_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p5_batches": P5_SQL, "p6_found": P6_SQL,
 }
