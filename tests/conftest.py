@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -14,6 +15,7 @@ def spark():
     session = (
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "3").config("spark.ui.enabled", "false").config("spark.driver.memory", "3g")
+        .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='tripleloom-tests-')}")  # the folder that a cluster would share
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.codegen.wholeStage", "false").config("spark.sql.codegen.factoryMode", "NO_CODEGEN")  # compiling costs more than tiny tables
         .getOrCreate()
@@ -50,22 +52,23 @@ def triples(text):
     return [tuple(term(t).replace("_", " ") if t[0] == '"' else term(t) for t in line.split()) for line in text.strip().splitlines()]
 
 
-F1 = triples(
-    """
-    ex:dave-smith a foaf:Person
-    ex:dave-smith foaf:name "Dave_Smith"
-    ex:eric-miller a foaf:Person
-    ex:eric-miller foaf:name "Eric_Miller"
-    ex:eric-miller foaf:mbox <mailto:e.miller123(at)example>
-    ex:eric-miller foaf:title "Dr"
-    ex:dave-smith foaf:knows ex:eric-miller
-    ex:eric-miller foaf:knows ex:dave-smith
-    """
+def full(*rows_):
+    return [tuple(term(x) for x in r) for r in rows_]
+
+
+# The two small graphs that FIXTURES.md states.
+F1 = full(
+    ("ex:dave-smith", "a", "foaf:Person"),
+    ("ex:dave-smith", "foaf:name", '"Dave Smith"'),
+    ("ex:eric-miller", "a", "foaf:Person"),
+    ("ex:eric-miller", "foaf:name", '"Eric Miller"'),
+    ("ex:eric-miller", "foaf:mbox", "<mailto:e.miller123(at)example>"),
+    ("ex:eric-miller", "foaf:title", '"Dr"'),
+    ("ex:dave-smith", "foaf:knows", "ex:eric-miller"),
+    ("ex:eric-miller", "foaf:knows", "ex:dave-smith"),
 )
-F2 = F1 + triples(
-    """
-    ex:w3 a schema:Organization
-    ex:w3 foaf:name "W3"
-    ex:eric-miller schema:worksFor ex:w3
-    """
+F2 = F1 + full(
+    ("ex:w3", "a", "schema:Organization"),
+    ("ex:w3", "foaf:name", '"W3"'),
+    ("ex:eric-miller", "schema:worksFor", "ex:w3"),
 )

@@ -10,8 +10,11 @@ import contextlib
 import logging
 import sys
 import time
+from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .plans.reasoner import closure, provenance_triples
 from .plans.rules import default_rules, parse
@@ -46,22 +49,54 @@ def opened(name: str):
             yield f
 
 
-def load(spark: SparkSession, names: list[str], namespaces: dict[str, str], with_rules: bool):
-    """Triples of the data files and rules of the rule files, in any order."""
-    data, rules = [], []
+@dataclass
+class Result:
+    """What a command made: the triples, and the namespaces to write them with."""
+
+    triples: DataFrame
+    namespaces: dict[str, str]
+
+    def counted(self) -> str:
+        return f"# Triples {self.triples.count()}"
+
+    def text(self) -> DataFrame:
+        """(text): what is printed, the document's prefixes, and a block for each subject."""
+        names = list(self.namespaces.items())
+        spark = self.triples.sparkSession
+        head = spark.createDataFrame([(self.counted() + "\n",), (serialise.header(names),)], "text string")
+        return head.unionByName(serialise.blocks(self.triples, names).select(F.col("block").alias("text")))
+
+
+def sort_files(names: Sequence[str], with_rules: bool) -> tuple[list[str], list[str]]:
+    """Data files and rule files among ``names``, in any order; a file of another kind ends the program."""
+    data = [n for n in names if n.endswith(("ttl", "nt"))]
+    rules = [n for n in names if n.endswith("mtt") and with_rules]
     for name in names:
-        if name.endswith("mtt") and with_rules:
+        if name not in data and name not in rules:
+            raise SystemExit(f"unknown file {name}")
+    return data, rules
+
+
+def run(spark: SparkSession, command: str, names: Sequence[str], namespaces: dict[str, str], data: Sequence[str] = (), provenance: bool = True) -> Result:
+    """``cat`` or ``reason`` over the named files, and over ``data`` (paths or globs of Turtle documents)."""
+    namespaces = dict(namespaces)
+    with timed("parsing"):
+        found, rule_files = sort_files(names, command == "reason")
+        found, rules = [*found, *data], []
+        for name in rule_files:
             with open(name, encoding="utf-8") as f:
                 rules += parse(f.read(), f"{name}#")
-        elif name.endswith(("ttl", "nt")):
-            data.append(name)
-        else:
-            raise SystemExit(f"unknown file {name}")
-    if data:
-        for r in turtle.prefixes(spark, *data).orderBy("filename").collect():  # the documents' headers
-            merge_namespaces(namespaces, {r["prefix"]: r["iri"]})
-    triples = turtle.read(spark, *data).select("s", "p", "o").distinct() if data else spark.createDataFrame([], "s string, p string, o string")
-    return triples, rules
+        if found:
+            for r in turtle.prefixes(spark, *found).orderBy("filename").collect():  # the documents' headers
+                merge_namespaces(namespaces, {r["prefix"]: r["iri"]})
+        triples = turtle.read(spark, *found).select("s", "p", "o").distinct() if found else spark.createDataFrame([], "s string, p string, o string")
+    if command == "reason":
+        with timed("reasoning"):
+            done = closure(triples, [*default_rules(), *rules], provenance=provenance)
+            triples = done.triples.select("s", "p", "o")
+            if provenance:
+                triples = triples.unionByName(provenance_triples(done.derivations)).distinct()
+    return Result(triples, namespaces)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -79,19 +114,10 @@ def main(argv: list[str] | None = None) -> None:
     if args.log_file:
         logging.basicConfig(filename=args.log_file, level=logging.DEBUG, format="%(asctime)s %(name)s %(levelname)s %(message)s")
     spark = SparkSession.builder.appName("tripleloom").getOrCreate()
-    namespaces = dict(args.namespace)
-    with timed("parsing"):
-        triples, rules = load(spark, args.filenames, namespaces, args.command == "reason")
-    if args.command == "reason":
-        with timed("reasoning"):
-            keep = not args.no_provenance
-            done = closure(triples, [*default_rules(), *rules], provenance=keep)
-            triples = done.triples.select("s", "p", "o")
-            if keep:
-                triples = triples.unionByName(provenance_triples(done.derivations)).distinct()
+    done = run(spark, args.command, args.filenames, dict(args.namespace), provenance=args.command == "reason" and not args.no_provenance)
     with timed("serialisation"), opened(args.output) as out:
-        print(f"# Triples {triples.count()}")
-        serialise.serialise(triples, out, list(namespaces.items()))
+        print(done.counted())
+        serialise.serialise(done.triples, out, list(done.namespaces.items()))
 
 
 if __name__ == "__main__":

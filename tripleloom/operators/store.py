@@ -96,10 +96,10 @@ class TripleStore:
         found = self.df.select(F.explode(F.array(*PLACES)).alias("term")).distinct()
         return found.withColumn("sort_key", sort_key_udf(F.col("term")))
 
-    def ordinals(self, index: str = "spo") -> DataFrame:
-        """(s, p, o, ordinal): the 0-based place of each triple in the order of ``index``, numbered in parallel."""
+    def ordinals(self, index: str = "spo", descending: Sequence[str] = ()) -> DataFrame:
+        """(s, p, o, ordinal): the 0-based place of each triple in the order of ``scan``, numbered in parallel."""
         keyed = self.df.withColumns({f"{c}_key": sort_key_udf(F.col(c)) for c in PLACES})
-        return number_rows(keyed, *[f"{c}_key" for c in index]).df.select(*PLACES, F.col("pos").alias("ordinal"))
+        return number_rows(keyed, *[F.desc(f"{c}_key") if c in descending else F.asc(f"{c}_key") for c in index]).df.select(*PLACES, F.col("pos").alias("ordinal"))
 
     def ordinal(self, s: str, p: str, o: str) -> int | None:
         row = self.ordinals().where((F.col("s") == s) & (F.col("p") == p) & (F.col("o") == o)).first()

@@ -44,6 +44,18 @@ def row_callback(pattern: Pattern, fn: Callable[..., list[tuple[str, str, str]]]
     return Callback(pattern, lambda matches, _: matches.mapInPandas(run, f"s string, p string, o string, premises array<{TRIPLE}>"), name)
 
 
+@dataclass(frozen=True)
+class RuleCallback:
+    """``fn`` gets the variables of a match of ``pattern`` by name and gives rules, which then hold for all triples.
+
+    The new matches of a round are read by the driver, because rules are plans: the pattern should be that of a
+    declaration.  A rule that was given before is not added again.
+    """
+
+    pattern: Pattern
+    fn: Callable[..., list[Rule]]
+
+
 @dataclass
 class Closure:
     """``triples`` with ``round`` (0: asserted), ``derivations`` if they were kept, and what each round brought."""
@@ -125,7 +137,7 @@ def derive(rules: Sequence[Rule], old: DataFrame, delta: DataFrame, full: DataFr
     return found
 
 
-def closure(triples: DataFrame, rules: Sequence[Rule], callbacks: Sequence[Callback] = (), provenance: bool = False, base: DataFrame | None = None, most_rounds: int | None = None, fast: bool = False) -> Closure:
+def closure(triples: DataFrame, rules: Sequence[Rule], callbacks: Sequence[Callback | RuleCallback] = (), provenance: bool = False, base: DataFrame | None = None, most_rounds: int | None = None, fast: bool = False) -> Closure:
     """Least fixpoint of ``rules`` over ``triples``; with ``base``, a closed set that ``triples`` are added to.
 
     The result does not depend on the order of loading.  With ``provenance`` every derivation is kept: the first ones of
@@ -134,6 +146,7 @@ def closure(triples: DataFrame, rules: Sequence[Rule], callbacks: Sequence[Callb
     raises a RuntimeError and returns nothing.  ``fast`` uses ``accelerate``; it keeps no
     derivations, and ``round`` is then the round in which the accelerated rules found a triple.
     """
+    rules = list(rules)
     if fast:
         if provenance:
             raise ValueError("accelerated rules have other premises")
@@ -160,7 +173,16 @@ def closure(triples: DataFrame, rules: Sequence[Rule], callbacks: Sequence[Callb
         full = base.unionByName(read(range(k + 1)))
         found = derive(rules, old, delta, full, live, there, before, provenance)
         for c in callbacks:
-            if _constants(c.pattern) in live:
+            if isinstance(c, RuleCallback):
+                if _constants(c.pattern) in live:
+                    given = [r for m in scan(delta, c.pattern).distinct().collect() for r in c.fn(**m.asDict())]
+                    given = [r for r in dict.fromkeys(given) if r not in rules]
+                    rules = [*rules, *given]
+                    late = shapes | {_constants(p) for r in given for p in r.body}
+                    if late != shapes:
+                        shapes, there = late, _possible(full, late)[1]
+                    found += derive(given, base.where("false"), full, full, lineage=provenance)
+            elif _constants(c.pattern) in live:
                 made = c.fn(scan(delta, c.pattern, "matched"), full)
                 found.append(made.select(*PLACES, F.lit(c.name).alias("rule"), F.array_sort(F.array_distinct("premises")).alias("premises")) if provenance else made.select(*PLACES))
         if not found:

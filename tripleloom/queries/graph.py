@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.terms import INFERRED_FROM, OWL, RDF_BAG, RDF_MEMBER, RDF_TYPE, RDFS, sort_key_udf
+from ..functions.terms import INFERRED_FROM, OWL, RDF_BAG, RDF_MEMBER, RDF_TYPE, RDFS
 from ..operators import versions
 from ..operators.numbering import number_rows
 from ..operators.store import TripleStore
@@ -118,7 +118,7 @@ for _name, _terms in _SHAPES.items():
 
 @query("scan_all", f"{GEO_SQL} SELECT * FROM t")
 def scan_all(spark, d):
-    return TripleStore(graph(spark, d, *GEO), True).df
+    return TripleStore(graph(spark, d, *GEO), True).scan("pos", ["o"])
 
 
 @query("contains", f"{GEO_SQL}, w AS (SELECT s, p, o FROM t WHERE p = '{pred('n_name')}' UNION ALL SELECT '<x>', '<y>', '<z>') SELECT w.s, count(t.s) > 0 AS found FROM w LEFT JOIN t USING (s, p, o) GROUP BY w.s")
@@ -459,14 +459,14 @@ def callback_rule(spark, d):
 
 
 def _log(spark, d) -> DataFrame:
-    """Events as a log of versioned insertions and deletions; an error deletes."""
-    e = table(spark, d, "events")
-    s = F.concat(F.lit("<urn:t/user/"), F.col("user_id") % 500, F.lit(">"))
-    o = F.concat(F.lit('"'), F.col("event_id") % 7, F.lit('"'))
-    return e.select(s.alias("s"), F.lit("<urn:p/did>").alias("p"), o.alias("o"), F.col("event_id").alias("version"), (F.col("event_type") == "error").alias("deleted"))
+    """Orders as a log of versioned insertions and deletions of their customers' statuses; a low priority deletes."""
+    o = table(spark, d, "orders")
+    s = F.concat(F.lit("<urn:t/customer/"), F.col("o_custkey"), F.lit(">"))
+    status = F.concat(F.lit('"'), F.col("o_orderstatus"), F.lit('"'))
+    return o.select(s.alias("s"), F.lit("<urn:p/status>").alias("p"), status.alias("o"), F.col("o_orderkey").alias("version"), (F.col("o_orderpriority") == "5-LOW").alias("deleted"))
 
 
-_LOG_SQL = """WITH log AS (SELECT '<urn:t/user/' || (user_id % 500) || '>' AS s, '<urn:p/did>' AS p, '"' || (event_id % 7) || '"' AS o, event_id AS version, event_type = 'error' AS deleted FROM events),
+_LOG_SQL = """WITH log AS (SELECT '<urn:t/customer/' || o_custkey || '>' AS s, '<urn:p/status>' AS p, '"' || o_orderstatus || '"' AS o, o_orderkey AS version, o_orderpriority = '5-LOW' AS deleted FROM orders),
 m AS (SELECT *, CASE WHEN NOT deleted AND coalesce(lag(deleted) OVER w, true) THEN 1 ELSE 0 END AS b FROM log WINDOW w AS (PARTITION BY s, p, o ORDER BY version)),
 i AS (SELECT *, sum(b) OVER (PARTITION BY s, p, o ORDER BY version) AS k FROM m),
 v AS (SELECT s, p, o, min(CASE WHEN NOT deleted THEN version END) AS valid_from, max(CASE WHEN deleted THEN version END) AS valid_to FROM i GROUP BY s, p, o, k)"""
@@ -534,15 +534,3 @@ def ntriples_round_trip(spark, d):
     path = new_path(spark, "ntriples") + "/x.nt"
     graph(spark, d, *GEO).select(F.concat_ws(" ", "s", "p", "o", F.lit("."))).coalesce(1).write.text(path)
     return turtle.ntriples(spark, path, named="x.nt")[0]
-
-
-@query("dot_lines", f"{_with('nation')} SELECT part, count(*) AS n FROM (SELECT DISTINCT 1 AS part, x FROM (SELECT s AS x FROM t UNION SELECT o FROM t) UNION ALL SELECT 2, s || p || o FROM t UNION ALL SELECT 0, '' UNION ALL SELECT 3, '') GROUP BY part")
-def dot_lines(spark, d):
-    return serialise.dot(graph(spark, d, "nation")).groupBy("part").agg(F.count("*").alias("n"))
-
-
-@query("sort_key_order", "SELECT DISTINCT o FROM triples WHERE o IS NOT NULL")
-def sort_key_order(spark, d):
-    """Every object of the graph has a place in the total order."""
-    t = table(spark, d, "triples").select("o").dropna().distinct()
-    return number_rows(t.withColumn("key", sort_key_udf(F.col("o"))), "key").df.where("key IS NOT NULL").select("o")

@@ -2,7 +2,7 @@ r"""Triples to Turtle-star text, and to Graphviz DOT.
 
 Each subject is one block of text, made in parallel: objects sorted within predicates, ``a`` first, blocks in the order
 of terms with quoted subjects last.  A blank node that one triple refers to is written in place as ``[ … ]``, innermost
-first, one round a level of nesting and at most ``DEPTH`` rounds; nodes beyond that, and those on cycles, keep labels.
+first, one round a level of nesting; those on cycles keep labels.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from pyspark.sql.types import StringType
 from ..functions.terms import BLANK, IRI, QUOTED, RDF_TYPE, TYPED, kind_of, sort_key_udf, split_quoted
 from ..runtime import stored
 
-DEPTH = 10
 _SAFE_LOCAL = re.compile(r"(?:[A-Za-z0-9_](?:[A-Za-z0-9_.-]*[A-Za-z0-9_-])?)?")
 
 
@@ -70,9 +69,7 @@ def blocks(triples: DataFrame, namespaces: Sequence[tuple[str, str]] = ()) -> Da
     quoted = rows.select(F.explode(F.array("s", "o")).alias("key")).where("key LIKE '<<%'").select(F.explode(F.regexp_extract_all("key", F.lit(r"(_:\S+)"), 1)).alias("o")).distinct()
     once = rows.where(is_blank).groupBy("o").agg(F.count("*").alias("n")).where("n = 1").select("o").join(quoted, "o", "left_anti")
     open_ = stored(once, "once")
-    for _ in range(DEPTH):
-        if open_.isEmpty():
-            break
+    while not open_.isEmpty():
         waits = rows.join(open_, "o", "left_semi").select("s").distinct()  # has an object that is not written yet
         ready = open_.select(F.col("o").alias("s")).join(waits, "s", "left_anti")
         if ready.isEmpty():
@@ -123,5 +120,8 @@ def dot(triples: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     nodes = rows.select(F.explode(F.array("s", "o")).alias("n")).distinct().select(F.lit(1).alias("part"), F.concat(name("n"), F.lit(" [label="), quote(F.col("n")), F.lit("]")).alias("line"))
     edges = rows.select(F.lit(2).alias("part"), F.concat(name("s"), F.lit(" -> "), name("o"), F.lit(" [label="), quote(F.col("p")), F.lit("]")).alias("line"))
-    frame = spark.createDataFrame([(0, "digraph G {"), (3, "}")], "part int, line string")
-    return frame.unionByName(nodes).unionByName(edges)
+    # The graph's attributes.
+    head = ["digraph G {", '    rankdir = "TB"', "    newrank = true", "    K = 1.5", "    node [shape=box]"]
+    count = rows.agg(F.lit(0).alias("part"), F.concat(F.lit("# "), F.count("*")).alias("line"))
+    frame = spark.createDataFrame([*[(0, line) for line in head], (3, "}")], "part int, line string")
+    return count.unionByName(frame).unionByName(nodes).unionByName(edges)
