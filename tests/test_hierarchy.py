@@ -44,10 +44,11 @@ def check(spark, links, **kw):
     return made, want
 
 
-@pytest.mark.parametrize("limits", [{}, {"local_links": 20, "local_arcs": 40}])
+@pytest.mark.parametrize("limits", [{}, {"local_links": 20, "local_arcs": 40}, {"local_links": 0, "local_arcs": 0}])
 def test_forest_with_cycles(spark, limits):
     made, want = check(spark, forest(1, 150), **limits)
-    assert {r.node: r.path for r in hierarchy.paths(made).collect()} == {n: p for n, (_, _, p) in want.items() if p}
+    for chunk in (3, 1000):
+        assert {r.node: r.path for r in hierarchy.paths(made, chunk).collect()} == {n: p for n, (_, _, p) in want.items() if p}
     pairs = {(p[i], n, len(p) - 1 - i) for n, (_, _, p) in want.items() if p for i in range(len(p) - 1)}
     assert set(rows(hierarchy.descendants(made))) == pairs
 
@@ -67,3 +68,17 @@ def test_several_parents_and_tiny_inputs(spark):
     assert hierarchy.paths(empty).count() == 0
     extra = spark.createDataFrame([("a", "b", 1, 2)], "child string, parent string, id int, depth int")
     assert rows(hierarchy.hierarchy(extra).select("node", "depth")) == [("a", 1), ("b", 0)]
+
+
+def test_more_trees_than_one_task_takes(spark):
+    """Many small trees: their heads and tails never count towards the rest of one task."""
+    check(spark, [(f"c{i:03}", f"r{i:03}") for i in range(60)] + [("a", "b"), ("b", "c"), ("c", "d")], local_links=4, local_arcs=4)
+
+
+def test_parallel_way_on_the_tables(spark):
+    """Without the finishing steps by one task, over the stated hierarchies of the test data."""
+    from tripleloom.queries import problems
+
+    links = problems.parent_links(spark, "/root/testdata/sf0.001")
+    parallel = hierarchy.hierarchy(links, 0, 0).select("node", "root", "depth")
+    assert rows(parallel) == rows(problems.p2_found(spark, "/root/testdata/sf0.001"))

@@ -1,10 +1,14 @@
 import random
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from conftest import rows
 
-from tripleloom.operators.skew import fold_by_key, top_subjects
+from pyspark.sql import functions as F
+
+from tripleloom.operators.numbering import number_rows
+from tripleloom.operators.skew import chunk_states, fold_by_key, longest_pauses, top_subjects
 
 
 def brute(triples):
@@ -59,3 +63,27 @@ def test_fold_by_key(spark):
         text = "".join("1" if up else "0" for key, _, up in data if key == k)
         want[k] = max(map(len, text.split("0")))
     assert dict(rows(got)) == want
+
+
+def test_longest_pauses(spark):
+    import datetime
+
+    r = random.Random(6)
+    start = datetime.datetime(2024, 1, 1)
+    data = [("hot" if r.random() < 0.8 else f"p{r.randint(0, 5)}", start + datetime.timedelta(microseconds=r.randrange(10**9))) for _ in range(1500)]
+    data += [("one", start), (None, start), ("hot", None), ("ties", start), ("ties", start)]
+    want = {}
+    for p in {p for p, t in data if p and t}:
+        at = sorted(t for q, t in data if q == p and t)
+        want[p] = max([(b - a) // datetime.timedelta(microseconds=1) for a, b in zip(at, at[1:])], default=0)
+    df = spark.createDataFrame([(*x, 1, 2) for x in data], "p string, loaded_at timestamp, pos int, chunk int")
+    for chunk in (1, 64, 10_000):
+        assert dict(rows(longest_pauses(df, chunk))) == want
+    assert longest_pauses(df.where("false")).count() == 0
+
+
+def test_no_task_has_more_than_its_share(spark):
+    """One key with nearly all rows: the rows of the tasks differ by less than two chunks' worth of spreading."""
+    numbered = number_rows(spark.range(4000).select(F.lit("hot").alias("k"), F.col("id").alias("v")), "k", "v")
+    sizes = chunk_states(numbered, "k", ["v"], lambda b, starts: pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([len(starts)])], names=["n", "keys"]), "n bigint, keys bigint", 100)
+    assert [tuple(r) for r in sizes.collect()] == [(100, 1)] * 40

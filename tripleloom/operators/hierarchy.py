@@ -3,15 +3,17 @@
 1. Nodes get dense numbers in term order; a node has one parent (of several stated ones the smallest;
    the others stay nodes).
 2. Leaves are peeled: what is left when nothing can be peeled are exactly the nodes on cycles.  Rounds shrink the links
-   geometrically; a rest of at most ``LOCAL_LINKS`` links is peeled by one task, a larger rest that shrinks slowly (long
-   chains) is resolved by pointer doubling.
+   geometrically; where they shrink slowly (long chains), pointer doubling resolves the rest; the last ``LOCAL_LINKS``
+   links are peeled by one task.
 3. Cycle nodes lose their parent link, so all links form a forest, whose Euler tours are lists of two arcs a node.
 4. Lists are ranked by contraction: in each round the arcs whose hash is a local minimum are spliced out (about a third,
-   never two neighbours), until at most ``LOCAL_ARCS`` remain, which one task ranks; then the removed arcs are ranked in
-   reverse order of rounds.  Work is linear in the number of arcs, rounds are logarithmic.
+   never two neighbours), until at most ``LOCAL_ARCS`` inner arcs remain, which one task ranks; then the removed arcs are
+   ranked in reverse order of rounds.  Work is linear in the number of arcs, rounds are logarithmic.
 5. The ranks of a node's two arcs are its entry and exit; from them come depth, root, number of descendants, ancestor
    tests, and by a sweep in tour order the paths.
 
+The finishing steps by one task save rounds only; with 0 for both bounds there are none, and the result is the same.
+
 Defined cases: links with a NULL end do not count; repeated links count once; a node that is its own parent is a cycle;
 nodes on or below a cycle have root ``''`` and depth -1; without links there are no nodes; extra columns are ignored.
 """
@@ -28,18 +30,20 @@ from pyspark.sql import functions as F
 from ..runtime import stored
 from .numbering import number_rows
 
-#: Most links that one task peels, and most arcs that one task ranks (32 bytes an arc).
+#: Most links that one task peels, and most inner arcs that one task ranks (32 bytes an arc).
 LOCAL_LINKS = 50_000
 LOCAL_ARCS = 50_000
+#: Nodes in tour order whose paths one group makes.
+PATH_CHUNK = 20_000
 #: A peeling round that removes less than this share of the links ends peeling in favour of pointer doubling.
 SLOW_PEEL = 0.05
 
 
 def numbered_forest(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, node) of all nodes in term order, and (child, parent) ids with one parent a child."""
-    links = links.select("child", "parent").dropna()
-    one = stored(links.groupBy("child").agg(F.min("parent").alias("parent"), F.array_sort(F.collect_set("parent")).alias("all")), "links")
-    names = one.select(F.col("child").alias("node")).unionByName(one.select(F.explode("all").alias("node"))).distinct()
+    links = stored(links.select("child", "parent").dropna().distinct(), "links")
+    one = links.groupBy("child").agg(F.min("parent").alias("parent"))
+    names = links.select(F.explode(F.array("child", "parent")).alias("node")).distinct()
     nodes = number_rows(names, "node").df.select(F.col("pos").alias("id"), "node")
     ids = one.join(nodes.select(F.col("id").alias("child_id"), F.col("node").alias("child")), "child")
     ids = ids.join(nodes.select(F.col("id").alias("parent_id"), F.col("node").alias("parent")), "parent")
@@ -112,7 +116,7 @@ def euler_arcs(links: DataFrame) -> DataFrame:
 
 
 def _rank_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Suffix sums of whole lists in one task, by pointer jumping over arrays."""
+    """Suffix sums of the inner parts of lists in one task, by pointer jumping over arrays; ``nxt`` is what follows a part."""
     held = list(batches)
     if not held:
         return
@@ -120,24 +124,28 @@ def _rank_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     ids = arcs["id"].to_numpy(np.int64)
     order = np.argsort(ids)
     ids, size = ids[order], len(ids)
-    n, d = arcs["n"].to_numpy(np.int64)[order], arcs["d"].to_numpy(np.int64)[order]
-    nxt = arcs["nxt"].to_numpy(np.float64, na_value=-1)[order].astype(np.int64)
-    at = np.where(nxt < 0, size, np.searchsorted(ids, nxt))
-    at, n, d, tail = np.append(at, size), np.append(n, 0), np.append(d, 0), np.arange(size + 1)
+    n, d, nxt = (np.append(arcs[c].to_numpy(np.int64)[order], 0) for c in ("n", "d", "nxt"))
+    at = np.searchsorted(ids, nxt[:size])
+    at = np.append(np.where((at < size) & (ids[np.minimum(at, size - 1)] == nxt[:size]), at, size), size)
     while (at[:size] != size).any():
-        tail = np.where(at == size, tail, tail[np.minimum(at, size)])
+        nxt = np.where(at == size, nxt, nxt[at])
         n, d, at = n + n[at], d + d[at], at[at]
-    yield pd.DataFrame({"id": ids, "n": n[:size], "d": d[:size], "tail": ids[tail[:size]]})
+    yield pd.DataFrame({"id": ids, "nxt": nxt[:size], "n": n[:size], "d": d[:size]})
 
 
 def rank_lists(arcs: DataFrame, local: int = LOCAL_ARCS) -> DataFrame:
-    """(id, n, d, tail): for each list element the sums of ``n`` and ``d`` from it to its list's end, and the last id."""
+    """(id, n, d, tail): for each list element the sums of ``n`` and ``d`` from it to its list's end, and the last id.
+
+    Elements between two others are spliced out round by round until at most ``local`` of them remain (0: none), whatever
+    the number of lists; heads and tails are never moved to one task.
+    """
     level, rounds = stored(arcs, "arcs"), []
-    left = level.count()
+    inner = F.col("prv").isNotNull() & F.col("nxt").isNotNull()
+    left = level.where(inner).count()
     while left > local:
         seed = len(rounds)
         luck = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(seed)), F.col(c))  # noqa: B023, E731
-        low = F.coalesce((luck("id") < luck("prv")) & (luck("id") < luck("nxt")) & F.col("prv").isNotNull() & F.col("nxt").isNotNull(), F.lit(False))
+        low = F.coalesce(inner & (luck("id") < luck("prv")) & (luck("id") < luck("nxt")), F.lit(False))
         out = level.where(low)
         rounds.append(out.select("id", "nxt", "n", "d"))
         none = F.lit(None).cast("bigint")
@@ -148,16 +156,27 @@ def rank_lists(arcs: DataFrame, local: int = LOCAL_ARCS) -> DataFrame:
             F.coalesce(F.max("new_nxt"), F.max("nxt")).alias("nxt"), F.coalesce(F.max("new_prv"), F.max("prv")).alias("prv"), F.sum("n").alias("n"), F.sum("d").alias("d")
         )
         level = stored(merged, "level")
-        left = level.count()
-    # at most `local` rows
-    ranked = level.select("id", "nxt", "n", "d").repartition(1).mapInPandas(_rank_all, "id bigint, n bigint, d bigint, tail bigint")
+        left = level.where(inner).count()
+    tails = level.where("nxt IS NULL").select("id", "n", "d", F.col("id").alias("tail"))
+    ends = tails.select(F.col("id").alias("nxt"), F.col("n").alias("rest_n"), F.col("d").alias("rest_d"), "tail")
+    if left:  # at most `local` rows
+        parts = level.where(inner).select("id", "nxt", "n", "d").repartition(1).mapInPandas(_rank_all, "id bigint, nxt bigint, n bigint, d bigint")
+        ranked = stored(tails.unionByName(_behind(parts, ends)), "ranked")
+        ends = ranked.select(F.col("id").alias("nxt"), F.col("n").alias("rest_n"), F.col("d").alias("rest_d"), "tail")
+    else:
+        ranked = tails
+    ranked = ranked.unionByName(_behind(level.where("prv IS NULL AND nxt IS NOT NULL"), ends))
     for out in reversed(rounds):
         ranked = stored(ranked, "ranked")
-        known = ranked.select(F.col("id").alias("nxt"), F.col("n").alias("rest_n"), F.col("d").alias("rest_d"), "tail")
-        ranked = ranked.unionByName(out.join(known, "nxt").select("id", (F.col("n") + F.col("rest_n")).alias("n"), (F.col("d") + F.col("rest_d")).alias("d"), "tail"))
+        ranked = ranked.unionByName(_behind(out, ranked.select(F.col("id").alias("nxt"), F.col("n").alias("rest_n"), F.col("d").alias("rest_d"), "tail")))
     return ranked
 
 
+def _behind(elements: DataFrame, known: DataFrame) -> DataFrame:
+    """Ranks of elements from those of what follows them."""
+    return elements.join(known, "nxt").select("id", (F.col("n") + F.col("rest_n")).alias("n"), (F.col("d") + F.col("rest_d")).alias("d"), "tail")
+
+
 def _tour(links: DataFrame, local_links: int, local_arcs: int) -> tuple[DataFrame, DataFrame]:
     """Names of the nodes, and by node id: root id, depth, first and last number in the tour, whether it is on a cycle's tree.
 
@@ -191,6 +210,8 @@ def hierarchy(links: DataFrame, local_links: int = LOCAL_LINKS, local_arcs: int
 
 def _sweep(open_nodes: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
     """Paths of consecutive nodes in tour order; ``open_nodes`` are the ancestors of the first."""
+    if not len(rows):
+        return pd.DataFrame({"node": [], "path": []})
     stack = list(open_nodes.sort_values("level")["above"])
     paths = []
     rows = rows.sort_values("pos")
@@ -201,18 +222,17 @@ def _sweep(open_nodes: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": rows["node"], "path": paths})
 
 
-def paths(tree: DataFrame) -> DataFrame:
+def paths(tree: DataFrame, chunk: int = PATH_CHUNK) -> DataFrame:
     """(node, path): the terms from the root to the node, for the nodes of ``hierarchy`` that have a root.
 
-    Nodes are numbered in tour order.  A chunk of the order is swept with a stack whose start are the ancestors of its
-    first node; those are the nodes whose span covers a chunk's start, found from the numbers alone.
+    Nodes are numbered in tour order and cut into chunks of ``chunk`` numbers.  A chunk is swept with a stack whose start
+    are the ancestors of its first node; those are the nodes whose span covers the chunk's start, found from the numbers.
     """
-    ordered = number_rows(tree.where("depth >= 0").select("node", "root", "depth", "enter", "descendants"), "root", F.desc("enter"))
-    starts = F.lit(ordered.starts) if ordered.starts else F.array().cast("array<bigint>")  # one number a partition
-    last = F.col("pos") + F.col("descendants")
-    crossing = ordered.df.where(F.get(starts, F.col("chunk_file") + 1) <= last)
-    crossing = crossing.select(F.col("node").alias("above"), F.col("depth").alias("level"), F.posexplode(F.transform(starts, lambda b: (b > F.col("pos")) & (b <= last))).alias("file", "open")).where("open").drop("open")
-    return ordered.df.groupBy("chunk_file").cogroup(crossing.groupBy("file")).applyInPandas(lambda rows, stack: _sweep(stack, rows), "node string, path array<string>")
+    ordered = number_rows(tree.where("depth >= 0").select("node", "root", "depth", "enter", "descendants"), "root", F.desc("enter")).df
+    of = lambda c: F.floor(c / chunk)
+    first, last = of(F.col("pos")), of(F.col("pos") + F.col("descendants"))
+    crossing = ordered.where(first < last).select(F.col("node").alias("above"), F.col("depth").alias("level"), F.explode(F.sequence(first + 1, last)).alias("chunk"))
+    return ordered.withColumn("chunk", first).groupBy("chunk").cogroup(crossing.groupBy("chunk")).applyInPandas(lambda rows, stack: _sweep(stack, rows), "node string, path array<string>")
 
 
 def descendants(tree: DataFrame) -> DataFrame:

@@ -235,8 +235,19 @@ WITH n AS (SELECT p, s, count(DISTINCT o) AS n FROM triples WHERE p IS NOT NULL
 SELECT p, s FROM n QUALIFY row_number() OVER (PARTITION BY p ORDER BY n DESC, s) = 1"""
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_current, p2_found, p2_paths, p2_descendants, p3_found, p3_wide, p4_found, p4_triples, p5_found, p5_batches, p6_found)}
+def p6_pauses(spark: SparkSession, d: str) -> DataFrame:
+    """For each predicate the longest time between two loads, in microseconds: an ordered fold with merged edges."""
+    return skew.longest_pauses(table(spark, d, "triples"))
+
+
+P6_PAUSES_SQL = """
+WITH t AS (SELECT p, epoch_us(loaded_at) AS us FROM triples WHERE p IS NOT NULL AND loaded_at IS NOT NULL),
+d AS (SELECT p, us - lag(us) OVER (PARTITION BY p ORDER BY us) AS pause FROM t)
+SELECT p, coalesce(max(pause), 0) AS pause FROM d GROUP BY p"""
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_current, p2_found, p2_paths, p2_descendants, p3_found, p3_wide, p4_found, p4_triples, p5_found, p5_batches, p6_found, p6_pauses)}
 SQL = {
     "p1_found": P1_SQL, "p1_current": P1_CURRENT_SQL, "p2_found": P2_SQL, "p2_paths": P2_PATHS_SQL, "p2_descendants": P2_DESCENDANTS_SQL,
-    "p3_found": P3_SQL, "p3_wide": P3_WIDE_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p5_batches": P5_SQL, "p6_found": P6_SQL,
+    "p3_found": P3_SQL, "p3_wide": P3_WIDE_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p5_batches": P5_SQL, "p6_found": P6_SQL, "p6_pauses": P6_PAUSES_SQL,
 }
