@@ -108,3 +108,54 @@ def test_known_pieces_are_those_of_all_intact_texts(spark):
     odds = {r.doc_id: r.odds for r in T.score(T.with_limits(ended, T.limits(ended)), model, T.known_pieces(marked)).collect()}
     for i, text in enumerate(ends):
         assert odds[i] == model.weights[T._hash(T.describe(text, "c", None, False, frozenset(pieces)))].sum()
+
+
+def cut_at(r, size, mark="", n=120):
+    """Texts of one source that cuts at ``size`` characters and ends them with ``mark``; the shorter ones are whole."""
+    made = [whole(r) for _ in range(n)]
+    return [(lang, text if len(text) <= size else text[: size - len(mark)] + mark, len(text) > size) for lang, text in made]
+
+
+def test_a_mark_that_the_code_has_never_seen(spark, corpus):
+    r = random.Random(11)
+    made = cut_at(r, 600, "~~>go on")
+    rows = corpus[0][:600] + [(20_000 + i, text, lang, "feed", 0, "a.x", "x", "x") for i, (lang, text, _) in enumerate(made)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    marked = T.with_limits(docs, T.limits(docs))
+    marks = T.marks_found(marked, T.intact_sample(marked, 300))
+    assert list(marks) == ["~~>go on"] and 0.3 < marks["~~>go on"] < 1
+    found = {x.doc_id for x in T.truncated(docs, 300).collect()}
+    want = {20_000 + i for i, (_, _, cut) in enumerate(made) if cut}
+    assert want <= found and len([i for i in found if i >= 20_000]) <= len(want) + 2
+
+
+def test_short_limits_and_short_whole_texts(spark, corpus):
+    """A source that cuts at 15 characters is found; whole texts as short as that in other sources are not."""
+    r = random.Random(12)
+    names = lambda: "_".join(r.choices(WORDS, k=3))
+    tiny = [(30_000 + i, f"{names()} = {i}"[:15], "python", "sms", 0, "a.x", "x", "x") for i in range(60)]
+    odd = [(31_000 + i, x, "c", "mirror", 0, "a.x", "x", "x") for i, x in enumerate(["0", " ", "\t", "1.2.3", "v1", "<|end|>"] * 4)]
+    docs = spark.createDataFrame(corpus[0][:900] + tiny + odd, SCHEMA)
+    found = {x.doc_id for x in T.truncated(docs, 400).collect()}
+    assert sum(30_000 <= i < 30_060 for i in found) >= 50
+    assert not [i for i in found if i >= 31_000]
+
+
+def test_small_corpus_is_judged_by_the_same_model(spark):
+    r = random.Random(13)
+    rows = [(i, text, lang, "a", 0, "a.x", "x", "x") for i, (lang, text) in enumerate(whole(r) for _ in range(26))]
+    rows += [(100 + i, whole(r)[1][:400], "python", "b", 0, "a.x", "x", "x") for i in range(4)]  # a limit that four texts have
+    found = {x.doc_id for x in T.truncated(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {100, 101, 102, 103} <= found and len(found) <= 6
+
+
+def test_without_intact_texts_the_prior_reports_nothing(spark):
+    rows = [(i, "abc" * (i + 1), "c", "s", 0, None, None, None) for i in range(3)]
+    assert T.truncated(spark.createDataFrame(rows, SCHEMA)).count() == 0
+
+
+def test_features_see_the_whole_text():
+    closed, open_ = ("x = 1;\n" * 5 + f'call({q}{"a b, " * 2000}end' for q in ("", '"'))
+    assert "quote code False -" in T.describe(closed, "c", None, False, frozenset()) and "quote code True -" in T.describe(open_, "c", None, False, frozenset())
+    line = "y" * 3000 + " - tail"
+    assert any(f.startswith("first c yyy") or f == "first c  -" for f in T.describe("z\n" + line, "c", None, False, frozenset()))
