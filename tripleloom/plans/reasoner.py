@@ -9,7 +9,7 @@ that cannot are not planned.  Derivations are kept apart from triples and never
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import pandas as pd
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import INFERRED_FROM, RDF_BAG, RDF_MEMBER, RDF_TYPE
-from ..runtime import new_path
+from ..runtime import broadcast_if_small, new_path
 from .bgp import PLACES, TRIPLE, Pattern, Var, match, scan
 from .rules import Rule
 
@@ -69,16 +69,20 @@ def _constants(pattern: Pattern) -> tuple:
     return tuple(t if not isinstance(t, Var) else None for t in pattern)
 
 
-def _possible(delta: DataFrame, shapes: set[tuple]) -> tuple[int, set[tuple]]:
-    """Number of triples of ``delta``, and the shapes (constants or None by place) that some triple has; one job."""
+#: Matches of a pattern, counted beforehand, up to which they are broadcast (some megabytes of terms).
+BROADCAST_ROWS = 20_000
+
+
+def _possible(delta: DataFrame, shapes: set[tuple]) -> tuple[int, dict[tuple, int]]:
+    """Number of triples of ``delta``, and how many have each shape (constants or None by place) that some have; one job."""
     listed = sorted(shapes, key=str)
 
     def has(shape: tuple):
         conditions = [F.col(c) == F.lit(t) for c, t in zip(PLACES, shape) if t is not None]
-        return F.max(reduce(lambda a, b: a & b, conditions, F.lit(True))).alias(f"f{listed.index(shape)}")
+        return F.count_if(reduce(lambda a, b: a & b, conditions, F.lit(True))).alias(f"f{listed.index(shape)}")
 
     row = delta.agg(F.count("*").alias("n"), *[has(s) for s in listed]).first()
-    return row["n"], {s for i, s in enumerate(listed) if row[f"f{i}"]}
+    return row["n"], {s: row[f"f{i}"] for i, s in enumerate(listed) if row[f"f{i}"]}
 
 
 def _heads(solutions: DataFrame, rule: Rule, lineage: str | None) -> DataFrame:
@@ -117,13 +121,20 @@ def accelerate(rules: Sequence[Rule]) -> list[Rule]:
     return list(dict.fromkeys(made))
 
 
-def derive(rules: Sequence[Rule], old: DataFrame, delta: DataFrame, full: DataFrame, live: set[tuple] | None = None, there: set[tuple] | None = None, before: set[tuple] | None = None, lineage: bool = False) -> list[DataFrame]:
+def derive(rules: Sequence[Rule], old: DataFrame, delta: DataFrame, full: DataFrame, live: dict | None = None, there: dict | None = None, before: dict | None = None, lineage: bool = False) -> list[DataFrame]:
     """Heads of all rule instances with at least one premise in ``delta``; ``full`` is ``old`` and ``delta``.
 
     Pattern i of a body reads the delta, patterns before it ``old`` and patterns behind it ``full``, so each instance is
-    found once.  ``live``, ``there`` and ``before`` are the constant shapes that occur in delta, in full and in old.
+    found once.  ``live``, ``there`` and ``before`` have the constant shapes that occur in delta, in full and in old, and
+    how often.  Patterns with few matches by these counts (declarations, mostly) are broadcast, so that the triples that
+    they are joined with are not shuffled by predicate.
     """
     found = []
+
+    def sized(source: DataFrame, pattern: Pattern, counts: dict | None) -> DataFrame:
+        small = counts is not None and _constants(pattern) != (None, None, None) and counts.get(_constants(pattern), 0) <= BROADCAST_ROWS
+        return F.broadcast(source) if small else source
+
     for rule in rules:
         for i, trigger in enumerate(rule.body):
             if live is not None and _constants(trigger) not in live:
@@ -132,7 +143,7 @@ def derive(rules: Sequence[Rule], old: DataFrame, delta: DataFrame, full: DataFr
                 continue
             if before is not None and any(_constants(p) not in before for p in rule.body[:i]):
                 continue
-            sources = [old] * i + [delta] + [full] * (len(rule.body) - i - 1)
+            sources = [sized(old, p, before) for p in rule.body[:i]] + [sized(delta, trigger, live)] + [sized(full, p, there) for p in rule.body[i + 1 :]]
             found.append(_heads(match(sources, rule.body, lineage="premises_" if lineage else None), rule, "premises_" if lineage else None))
     return found
 
@@ -168,7 +179,7 @@ def closure(triples: DataFrame, rules: Sequence[Rule], callbacks: Sequence[Callb
             break
         if most_rounds is not None and k > most_rounds:
             raise RuntimeError(f"no fixpoint after {most_rounds} rounds: round {k} brings {n} more triples")
-        before, there = there, there | live
+        before, there = there, {k: there.get(k, 0) + live.get(k, 0) for k in there.keys() | live.keys()}
         old = base.unionByName(read(range(k))) if k else base
         full = base.unionByName(read(range(k + 1)))
         found = derive(rules, old, delta, full, live, there, before, provenance)
@@ -249,7 +260,8 @@ def delete(asserted: DataFrame, deleted: DataFrame, rules: Sequence[Rule], callb
 def delete_incremental(asserted: DataFrame, closed: DataFrame, deleted: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """The same triples as ``delete``, from the closed set: over-delete what may depend, then derive again what still follows.
 
-    Only consequences of the deleted triples are visited; ``closed`` is the closure of ``asserted``.
+    ``closed`` is the closure of ``asserted``.  Rules are matched from the deleted triples on, and then backwards from the
+    over-deleted ones: their terms bind the head's variables before any body pattern is read.
     """
     spark = closed.sparkSession
     root = new_path(spark, "deleted")
@@ -258,11 +270,12 @@ def delete_incremental(asserted: DataFrame, closed: DataFrame, deleted: DataFram
     read = lambda rounds: spark.read.schema("s string, p string, o string").parquet(*[f"{root}/{k}" for k in rounds])
     deleted.select(*PLACES).distinct().join(closed, PLACES, "left_semi").write.parquet(f"{root}/0")
     shapes = {_constants(p) for r in rules for p in r.body}
+    there = _possible(closed, shapes)[1]
     k = 0
     while True:
         gone = read([k])
         n, live = _possible(gone, shapes)
-        found = derive(rules, closed, gone, closed, live) if n else []
+        found = derive(rules, closed, gone, closed, live, there, there) if n else []
         if not found:
             break
         heads = reduce(DataFrame.unionByName, found).distinct().join(closed, PLACES, "left_semi").join(read(range(k + 1)), PLACES, "left_anti")
@@ -271,7 +284,12 @@ def delete_incremental(asserted: DataFrame, closed: DataFrame, deleted: DataFram
     over = read(range(k + 1))
     left = closed.join(over, PLACES, "left_anti")
     again = [over.join(asserted, PLACES, "left_semi")]
+    heads = {_constants(h) for r in rules for h in r.head}
+    wanted = _possible(over, heads)[1]
     for rule in rules:  # what follows at once from what is left, among the over-deleted
-        again.append(_heads(match(left, rule.body), rule, None).join(over, PLACES, "left_semi"))
+        for head in rule.head:
+            if _constants(head) in wanted:
+                bound = broadcast_if_small(scan(over, head).distinct())
+                again.append(_heads(match(left, rule.body, bindings=bound if bound.columns != ["match_"] else None), replace(rule, head=(head,)), None).join(over, PLACES, "left_semi"))
     seed = reduce(DataFrame.unionByName, again).distinct()
     return closure(seed, rules, base=left).triples.select(*PLACES)

@@ -455,6 +455,51 @@ def callback_rule(spark, d):
     return done.triples.where(F.col("p") == "<urn:p/shout>").select("s", "o")
 
 
+HAS = _rules("($l p:l_orderkey $o) -> ($o p:has $l), ($o p:holds $l) . ($o p:has $l), ($l p:l_suppkey $s) -> ($o p:from $s) .")
+_LINES = f"SELECT DISTINCT {_iri('orders', 'l_orderkey')} AS s, '<urn:p/from>' AS p, {_iri('supplier', 'l_suppkey')} AS o FROM lineitem"
+
+
+def _lines(spark, d) -> DataFrame:
+    return graph(spark, d, "lineitem").where(F.col("p").isin(pred("l_orderkey"), pred("l_suppkey"))).distinct()
+
+
+@query("delete_lines_incremental", f"{_LINES} WHERE l_linenumber <> 3")
+def delete_lines_incremental(spark, d):
+    """The order of every third line is deleted; an order's suppliers that other lines give stay."""
+    base = stored(_lines(spark, d), "lines")
+    gone = base.where((F.col("p") == pred("l_orderkey")) & F.col("s").endswith("/3>"))
+    closed = reasoner.closure(base, HAS).triples
+    return reasoner.delete_incremental(base, closed, gone, HAS).where(F.col("p") == "<urn:p/from>")
+
+
+@query("delete_lines_recompute", f"{_LINES} WHERE l_linenumber <> 3")
+def delete_lines_recompute(spark, d):
+    base = _lines(spark, d)
+    gone = base.where((F.col("p") == pred("l_orderkey")) & F.col("s").endswith("/3>"))
+    return reasoner.delete(base, gone, HAS).triples.where(F.col("p") == "<urn:p/from>").select("s", "p", "o")
+
+
+_KNOWS = "<http://xmlns.com/foaf/0.1/knows>"
+
+
+@query("provenance_of_graph", f"SELECT DISTINCT '<< ' || o || ' <urn:p/known> ' || s || ' >>' AS s, '{INFERRED_FROM}' AS p, '<< ' || s || ' {_KNOWS} ' || o || ' >>' AS o FROM triples WHERE p = '{_KNOWS}' AND s IS NOT NULL AND o IS NOT NULL")
+def provenance_of_graph(spark, d):
+    """Why everybody is known, over the whole stated graph."""
+    t = table(spark, d, "triples").select("s", "p", "o")
+    done = reasoner.closure(t, _rules(f"($x {_KNOWS} $y) -> ($y p:known $x) ."), provenance=True)
+    return reasoner.provenance_triples(done.derivations)
+
+
+@query("callback_on_graph", f"SELECT DISTINCT s, '\"' || len(o) || '\"' AS o FROM triples WHERE p = '<http://xmlns.com/foaf/0.1/name>' AND s IS NOT NULL AND o IS NOT NULL")
+def callback_on_graph(spark, d):
+    """A callback over every name of the stated graph: the length of its key."""
+    def measure(matches: DataFrame, full: DataFrame) -> DataFrame:
+        return matches.select(F.col("n").alias("s"), F.lit("<urn:p/length>").alias("p"), F.concat(F.lit('"'), F.length("name"), F.lit('"')).alias("o"), F.col("matched").alias("premises"))
+
+    done = reasoner.closure(table(spark, d, "triples").select("s", "p", "o"), [], [reasoner.Callback((N, "<http://xmlns.com/foaf/0.1/name>", Var("name")), measure)])
+    return done.triples.where(F.col("p") == "<urn:p/length>").select("s", "o")
+
+
 # -- changes and versions
 
 
