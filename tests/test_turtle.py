@@ -120,6 +120,93 @@ def test_files(spark, tmp_path):
     assert rows(bad) == [("c.nt", "<s> <p> .", "columns")]
 
 
+PIECES = """@prefix e: <http://e/> . # "no
+e:a e:p \"\"\"x "y"
+
+z\"\"\", '''''', "" ; e:q [ e:r 1
+] .
+
+e:b e:p _:l . @prefix e: <http://f/> .
+_:l e:p "1\\
+2" , _:m . <<
+e:c e:p _:m >> e:q ( "3"@en
+4 ) .
+"""
+
+
+def test_documents_in_pieces(monkeypatch):
+    """Any cut at line ends gives the same triples; a string may go on in later pieces."""
+    whole, lines = parse(PIECES), PIECES.splitlines(keepends=True)
+    assert len(whole.triples) == 14 and whole.prefixes == {"e": "http://f/"}
+    for tokens, characters in ((turtle.TOKENS, turtle.CHARACTERS), (2, 1)):
+        monkeypatch.setattr(turtle, "TOKENS", tokens)
+        monkeypatch.setattr(turtle, "CHARACTERS", characters)
+        for size in range(1, len(lines) + 1):
+            doc = turtle.Document("".join(lines[i : i + size]) for i in range(0, len(lines), size))
+            assert [t for part in doc.parts() for t in part] == whole.triples and doc.prefixes == whole.prefixes
+    with pytest.raises(TurtleError, match="line 3: unexpected"):
+        list(turtle.Document(["<s> <p>\n", "# c\n", '"o .\n', "<s> <p> <o> .\n"]).parts())
+    assert sum(turtle.Document(["\n# c\n"] * 9 + ["<s> <p> 1 ."]).parts(), []) == [("<s>", "<p>", "1")]
+
+
+def test_documents_of_any_size(monkeypatch):
+    """Triples leave before the rest is read, also those of one long statement; little is held."""
+    monkeypatch.setattr(turtle, "TOKENS", 100)
+    for start, line in (("", "<s> <p> <o{0}>, {0} .\n"), ("<s> <p> <o>\n", ", <o{0}>; <p> {0}\n")):
+        taken = 0
+
+        def pieces():
+            nonlocal taken
+            yield start
+            for taken in range(10_000):
+                yield line.format(taken)
+            yield "" if line.endswith(".\n") else "."
+
+        found = 0
+        for part in turtle.Document(pieces()).parts():
+            found += len(part)
+            assert len(part) <= 100 and 2 * taken - found <= 200
+        assert found == 20_000 + bool(start)
+
+
+def test_files_are_not_read_as_a_whole(spark, tmp_path):
+    """Rows come before the end is read, which is shown by an error there."""
+    (tmp_path / "a.ttl").write_text("".join(f"<s> <p> {i} .\n" for i in range(40_000)) + "<s> <p> .\n")
+    made = turtle.read(spark, str(tmp_path)).select("s", "p", "o")
+    assert [tuple(r) for r in made.take(1)] == [("<s>", "<p>", "0")]
+    with pytest.raises(Exception, match="TurtleError"):
+        made.collect()
+
+
+def test_files_named_twice(spark, tmp_path):
+    """Each reading of a file gives the same blank nodes."""
+    (tmp_path / "a.ttl").write_text("<s> <p> [ <q> 1 ] .\n")
+    (tmp_path / "b.ttl").write_text("<s> <p> 3 .\n")
+    made = turtle.read(spark, str(tmp_path), f"{tmp_path}/b.ttl", f"{tmp_path}/a*").select("filename", "s", "o")
+    assert rows(made) == 2 * [("a.ttl", "<s>", "_:a.ttl/0")] + 2 * [("a.ttl", "_:a.ttl/0", "1")] + 2 * [("b.ttl", "<s>", "3")]
+
+
+def test_files_in_several_splits(spark, tmp_path):
+    """A file is read by many tasks and parsed by one, its lines in order; names may need quoting in a URI."""
+    rest = "".join(f'e:s{i} e:p _:b{i % 7}, """{i}\n# " \r\n""" .\n' + f"@prefix e: <http://e{i}/> .\n" * (i % 50 == 0) for i in range(400))
+    texts = {"a b.ttl": "\ufeff@prefix e: <http://e/> .\n" + rest, "ü%20#.ttl": "PREFIX e: <http://f/>\n" + rest[:-1], "none.ttl": "", "one.ttl": "<s> <p> 1 ."}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, newline="")
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        made, heads = turtle.read(spark, str(tmp_path)).collect(), turtle.prefixes(spark, str(tmp_path)).collect()
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    quoted = {name: name.replace("%", "%25").replace(" ", "%20").replace("#", "%23") for name in texts}  # as Spark names files
+    want = {quoted[name]: parse(text, quoted[name]) for name, text in texts.items()}
+    for name, doc in want.items():
+        assert [tuple(r)[1:] for r in made if r["filename"] == name] == doc.triples
+        assert {r["prefix"]: r["iri"] for r in heads if r["filename"] == name} == doc.prefixes
+    assert {r["filename"] for r in made} == {n for n in want if want[n].triples}
+
+
 SIMPLE = """
 @prefix s: <https://schema.org/> . @prefix e: <https://example.org/> .
 e:ann s:name "Ann" . e:bob s:name "Bob" .

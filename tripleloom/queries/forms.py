@@ -16,7 +16,7 @@ from ..operators.store import TripleStore
 from ..plans import reasoner
 from ..plans.bgp import Statistics, Var, match, with_sort_keys
 from ..plans.rules import Rule, default_rules
-from ..runtime import new_path, stored
+from ..runtime import new_path, spread, stored
 from ..sources import serialise, turtle
 from .graph import GEO, _iri, _order, _with, graph, pred, query, table
 
@@ -81,7 +81,7 @@ def turtle_literals(spark, d):
     says += [F.concat(F.lit(f"p:{k} "), F.format_string(form, "p_size")) for k, (form, _) in _NUMBERS.items()]
     says.append(F.concat(F.lit("p:flag "), (F.col("p_size") > 20).cast("string")))
     text = F.concat(F.format_string("<urn:t/part/%d> ", "p_partkey"), F.concat_ws(" ; ", *says), F.lit(" ."))
-    return _read(spark, table(spark, d, "part").select(text.alias("text")), "@prefix p: <urn:p/> .")
+    return _read(spark, spread(table(spark, d, "part")).select(text.alias("text")), "@prefix p: <urn:p/> .")
 
 
 _DEEP = 11
